@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, quality, simhash
+from . import decontaminate, license_scan, line_dedup, packing, quality, simhash
 
 QUERIES = {
+    "op1_license_scan": license_scan.query,
+    "op3_line_dedup": line_dedup.query,
     "op5_simhash": simhash.query,
     "op6_decontaminate": decontaminate.query,
     "op7_quality": quality.query,
     "op8_packing": packing.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": license_scan.ORACLE_SQL,
+    "op3_line_dedup": line_dedup.ORACLE_SQL,
+}
