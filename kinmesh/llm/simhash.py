@@ -40,7 +40,7 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fingerprint (the 64 bits as a long) of every row; null and empty texts have 0."""
+    """doc_id, th (a hash of the text) and fingerprint (the 64 bits as a long) of every row; null and empty texts have 0."""
 
     def scan(batches):
         import pyarrow as pa
@@ -48,12 +48,16 @@ def with_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
         for batch in batches:
             got = np.fromiter((fingerprint(t, shingle) for t in binary(batch, "text")), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(got.view(np.int64), pa.int64())], ["doc_id", "fingerprint"]
+                [batch.column("doc_id"), batch.column("th"), pa.array(got.view(np.int64), pa.int64())], ["doc_id", "th", "fingerprint"]
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        scan, "doc_id long, fingerprint long"
-    )
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("th"), text.alias("text"))
+    return rows.mapInArrow(scan, "doc_id long, th long, fingerprint long")
+
+
+def _text_hash():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -165,33 +169,41 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """doc_id, fingerprint (long) and component_id (the smallest doc_id that links reach) of every row.
-
-    Null and empty texts share fingerprint 0 and are linked like any other.  Repeated rows come out once for each
-    row.  A null doc_id never names a component unless no row of it has an id.
-    """
+def _classes(docs: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and (fingerprint, first) where first is the component's first (no id, doc_id, th)."""
     marked = stash(with_fingerprints(docs, shingle), "simhash")
-    distinct = stash(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    distinct = stash(marked.groupBy("fingerprint").agg(F.min(row).alias("least")), "simhash-distinct")
     found = stash(components(links(distinct, radius=radius)), "simhash-roots")
     rooted = distinct.join(found, distinct.fingerprint == found.node, "left").select(
         "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
     )
-    first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(first, "root").select("fingerprint", "component_id")
-    return marked.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    first = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    return marked, rooted.join(first, "root").select("fingerprint", "first")
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 3) -> DataFrame:
+    """doc_id, fingerprint (long) and component_id (the smallest doc_id that links reach) of every row.
+
+    Null and empty texts share fingerprint 0 and are linked like any other.  Repeated rows come out once for each
+    row.  A null doc_id names a component only if no row of it has an id.
+    """
+    marked, named = _classes(docs, shingle, radius)
+    return marked.join(named, "fingerprint").select("doc_id", "fingerprint", F.col("first.doc_id").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """One row of each component: that of the smallest doc_id, all its columns as they were.
+def drop_near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 3) -> DataFrame:
+    """One row of each component, that of the smallest doc_id (then text hash), all its columns as they were.
 
-    Of repeated rows with that doc_id any one stays; of a component of null doc_ids, one row.
+    Of rows that are equal in doc_id and text, any one stays.
     """
-    got = near_duplicates(docs, **how)
-    keep = got.select(F.col("component_id").alias("__keep")).distinct()
-    rows = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")), "left_semi")
-    again = rows.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return rows.dropDuplicates(["doc_id"]) if again else rows
+    marked, named = _classes(docs, shingle, radius)
+    keep = named.select(F.col("first.doc_id").alias("__id"), F.col("first.th").alias("__th")).distinct()
+    met = docs.withColumn("__own", _text_hash())
+    met = met.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th")), "left_semi")
+    if marked.groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
+        met = met.dropDuplicates(["doc_id", "__own"])
+    return met.drop("__own")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
