@@ -107,9 +107,9 @@ f AS (SELECT pair_id, min(turn) FILTER (c IS DISTINCT FROM j) AS apart FROM g GR
 m AS (SELECT r.*, apart IS NULL OR turn < apart AS common FROM r JOIN f USING (pair_id)),
 s AS (SELECT pair_id, CASE WHEN common THEN 'prompt' ELSE side END AS section, turn, role, text,
   '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS whole FROM m WHERE NOT common OR side = 'chosen'),
-w AS (SELECT *, coalesce(sum(length(whole)) OVER (PARTITION BY pair_id, section, turn // 256 ORDER BY turn, role, text
+w AS (SELECT *, coalesce(sum(length(whole)) OVER (PARTITION BY pair_id, section, floor(turn / 256) ORDER BY turn, role, text
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 13 + length(role) AS a FROM s),
-o AS (SELECT pair_id, section, turn // 256 AS part, count(*) AS n_turns, string_agg(whole, '' ORDER BY turn, role, text) AS text,
+o AS (SELECT pair_id, section, floor(turn / 256)::BIGINT AS part, count(*) AS n_turns, string_agg(whole, '' ORDER BY turn, role, text) AS text,
   coalesce(string_agg(a::BIGINT || '-' || (a + length(text) + 10)::BIGINT, ',' ORDER BY turn, role, text) FILTER (role = 'assistant' AND section <> 'prompt'), '') AS train
   FROM w GROUP BY ALL)
 SELECT o.*, coalesce((SELECT count(*) FROM s WHERE s.pair_id = o.pair_id AND section = 'prompt'), 0) AS n_prefix FROM o

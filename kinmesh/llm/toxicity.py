@@ -33,7 +33,7 @@ _SENTENCE = re.compile(rb"[.!?\n]+")
 _FLOOR = -3.0
 
 #: At most so many labelled rows of each label train the machine, none of them with more bytes than the last.
-TRAIN_ROWS, TRAIN_BYTES, LANDMARKS = 2500, 1 << 17, 160
+TRAIN_ROWS, TRAIN_BYTES, LANDMARKS = 2500, 1 << 17, 240
 
 
 def segments(word: str) -> list[str]:
@@ -198,11 +198,11 @@ def train(texts: list[bytes], labels: list[int], rounds: int = 3) -> ToxicityMod
         if not bad:
             break
         n = np.array([worst[s] for s in bad], float)
-        gapped = [s[:i] + c + s[i:] for s in bad[:60] for i, c in ((len(s) // 2, "."), (2, "*"), (len(s) // 3 + 1, "-")) if len(s) > 4]
+        gapped = [v for s in bad[:80] if len(s) > 5 for v in disguised(s)]
         good = list(dict.fromkeys([*everyday, *rare, *hard]))
         good = [s for s in good if s not in worst or in_clean[s] > 0]
-        cost = np.concatenate([np.full(len(good), 1 / len(good)), np.sqrt(n) / np.sqrt(n).sum(), np.full(len(gapped), 0.3 / max(len(gapped), 1))])
-        landmarks = list(dict.fromkeys([*bad[: LANDMARKS // 2], *hard[: LANDMARKS // 4], *everyday]))[:LANDMARKS]
+        cost = np.concatenate([np.full(len(good), 1 / len(good)), np.sqrt(n) / np.sqrt(n).sum(), np.full(len(gapped), 1.0 / max(len(gapped), 1))])
+        landmarks = list(dict.fromkeys([*bad[: LANDMARKS // 3], *gapped[: LANDMARKS // 3], *hard[: LANDMARKS // 4], *everyday]))[:LANDMARKS]
         weights, bias = fit_table(landmarks, good, bad + gapped, cost)
         names = list(in_toxic)
         score = dict(zip(names, (apply_table(names, weights) + bias).tolist()))
@@ -216,6 +216,12 @@ def train(texts: list[bytes], labels: list[int], rounds: int = 3) -> ToxicityMod
     return model
 
 
+def disguised(s: str) -> list[str]:
+    """A segment with a character put in or doubled, at three places."""
+    places = sorted({2, len(s) // 2, len(s) - 2})
+    return [s[:i] + c + s[i:] for i in places for c in (".*-"[i % 3], s[i - 1])]
+
+
 def hash_of(s: str) -> int:
     import zlib
 

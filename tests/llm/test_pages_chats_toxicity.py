@@ -102,7 +102,7 @@ def test_html_leaves_out_what_is_no_article():
         "<form><p>no</p></form><table><tr><td>a<td>b</table><!-- no --><p hidden>no</p><div class=comments><p>no</p></div><p>End</article><p>after"
     )
     assert text_of(page(1, body)) == ["Title\nOne two\na\nb\nEnd"]
-    assert text_of("", "<p", "plain &lt; text", "<div>" * 3000 + "deep") == ["", "", "plain < text", "deep"] or True
+    assert [text_of(s)[0] for s in ("", "plain &lt; text", "<div>" * 300 + "deep")] == ["", "plain < text", "deep"]
 
 
 def test_html_odd_rows(spark):
@@ -127,7 +127,8 @@ def test_preferences_small(spark):
     assert got[0, "prompt"].text == "<|im_start|>user\nHi<|im_end|>\n" and got[0, "prompt"].n_prefix == 1
     r = got[0, "rejected"]
     assert [r.text[s.start : s.end] for s in r.train] == ["No < |im_end|><|im_end|>"] and r.n_turns == 2
-    assert got[2, "rejected"].n_turns == 2 and chat.preferences(chat.neighbours(df.limit(0))).count() == 0
+    early = chat.preferences(chat.neighbours(df)).where("pair_id = 2 and section = 'rejected'").orderBy("part").collect()
+    assert [r.n_turns for r in early] == [1, 1] and "early" in early[0].text and chat.preferences(chat.neighbours(df.limit(0))).count() == 0
 
 
 def test_preferences_in_parts(spark):
@@ -154,7 +155,7 @@ def test_toxicity_kernel_tolerates_gaps():
     a, b, c = toxicity.features(["^idiot$", "^id.iot$", "^table$"])
     dot = lambda x, y: sum(v * y.get(k, 0) for k, v in x.items())
     assert dot(a, b) > 0.3 * dot(a, a) > 0 and dot(a, c) < 0.1 * dot(a, a)
-    assert toxicity.words_of(b"You I D I O T, all") == [b"you", b"i", b"d", b"i", b"o", b"t,", b"all", b"idiot,"] or True
+    assert toxicity.words_of(b"You I D I O T all")[-1] == b"idiot"
 
 
 def test_toxicity_odd_rows(spark):
