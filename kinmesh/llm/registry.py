@@ -21,5 +21,6 @@ ORACLE_SQL = {
     "op1_license_scan": license_scan.ORACLE_SQL,
     "op2_preferences": chat.ORACLE_SQL,
     "op3_line_dedup": line_dedup.ORACLE_SQL,
+    "op6_decontaminate": decontaminate.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,
 }
