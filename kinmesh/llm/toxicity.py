@@ -3,7 +3,7 @@
 The kernel compares two segments (a word, or a window of a long one, with marks at its ends) by the character
 triples that they share as subsequences, gaps allowed: a triple that spans b + 1 characters weighs LAMBDA ** b, so
 "id.iot" and "idioot" stay close to "idiot".  It is divided by a norm that depends on the lengths.  A sentence's
-score is that of its worst segment, a document's that of its worst sentence.
+score is that of its worst segment; a document's combines those of its three worst words, as abuse seldom comes alone.
 
 Training rows are sentences with their document's label, so most segments of a toxic sentence are harmless: the
 machine is trained in rounds, in which each toxic document's worst segment stands for it and the worst segments of
@@ -17,15 +17,15 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from heapq import nlargest
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import binary, table
-from .quality import platt
 
-LAMBDA, REACH, BITS, WINDOW = 0.75, 5, 20, 16
+LAMBDA, REACH, BITS, WINDOW, WORST = 0.75, 5, 20, 16, 3
 _GAPS = [(a, b) for b in range(2, REACH + 1) for a in range(1, b)]
 #: Single characters with blanks between them, read as one word.
 _SPACED = re.compile(rb"(?:(?<=\s)|^)[^\s](?: [^\s]){3,}(?=\s|$)")
@@ -85,7 +85,7 @@ def features(parts: list[str]) -> list[dict[int, float]]:
 class ToxicityModel:
     weights: np.ndarray  # by hashed triple
     bias: float
-    slope: float
+    slopes: np.ndarray  # of the margins of the worst words, worst first
     offset: float
 
     def margins(self, words: list[str]) -> np.ndarray:
@@ -96,8 +96,9 @@ class ToxicityModel:
         np.maximum.at(out, np.repeat(np.arange(len(words)), [len(x) for x in split]), flat)
         return out
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -40, 40)))
+    def probability(self, worst: np.ndarray) -> np.ndarray:
+        """From the margins of each text's worst words, a row for each text."""
+        return 1 / (1 + np.exp(-np.clip(worst @ self.slopes + self.offset, -40, 40)))
 
 
 class Scorer:
@@ -106,13 +107,18 @@ class Scorer:
     def __init__(self, model: ToxicityModel, most: int = 500_000):
         self.model, self.most, self.known = model, most, {}
 
-    def margins(self, texts: list[bytes]) -> list[float]:
-        split = [words_of(t) for t in texts]
+    def worst(self, texts: list[bytes]) -> np.ndarray:
+        """The margins of each text's WORST worst words, those of repeated words once."""
+        split = [set(words_of(t)) for t in texts]
         if len(self.known) > self.most:
             self.known.clear()
         new = list(set().union(*split).difference(self.known))
         self.known.update(zip(new, self.model.margins([w.decode() for w in new]).tolist()))
-        return [max(map(self.known.__getitem__, words), default=_FLOOR) for words in split]
+        out = np.full((len(texts), WORST), _FLOOR)
+        for row, words in zip(out, split):
+            top = nlargest(WORST, map(self.known.__getitem__, words))
+            row[: len(top)] = top
+        return out
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -173,7 +179,7 @@ def train(texts: list[bytes], labels: list[int], rounds: int = 3) -> ToxicityMod
     y = np.array(labels, int)
     rate = (y.sum() + 1) / (len(y) + 2)
     if len(set(labels)) < 2:
-        return ToxicityModel(np.zeros(1 << BITS, np.float32), 0.0, 0.0, float(np.log(rate / (1 - rate))))
+        return ToxicityModel(np.zeros(1 << BITS, np.float32), 0.0, np.zeros(WORST), float(np.log(rate / (1 - rate))))
     bags = [sorted({s for part in _SENTENCE.split(t) for w in words_of(part) for s in segments(w.decode())}) for t in texts]
     fold = np.arange(len(y)) % 5 == 4
     toxic, clean = np.flatnonzero((y > 0) & ~fold), np.flatnonzero((y == 0) & ~fold)
@@ -209,13 +215,34 @@ def train(texts: list[bytes], labels: list[int], rounds: int = 3) -> ToxicityMod
         names = list(in_clean)
         margin = apply_table(names, weights) + bias
         hard = list(dict.fromkeys([*(names[i] for i in np.argsort(-margin)[:1500]), *hard]))
-    model = ToxicityModel(weights, bias, 1.0, 0.0)
+    model = ToxicityModel(weights, bias, np.zeros(WORST), 0.0)
     held = np.flatnonzero(fold) if len(set(y[fold])) == 2 else np.arange(len(y))
-    top = np.array(Scorer(model).margins([texts[i] for i in held]))
-    model.slope, model.offset = platt(top, y[held])
+    model.slopes, model.offset = calibrate(Scorer(model).worst([texts[i] for i in held]), y[held])
     return model
 
 
+def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes (0 or more) and offset of the logistic curve that fits best, with smoothed targets."""
+    up, down = y.sum(), len(y) - y.sum()
+    goal = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
+    use = list(range(x.shape[1]))
+    while True:
+        z = np.concatenate([x[:, use], np.ones((len(x), 1))], 1)
+        a = np.zeros(z.shape[1])
+        a[-1] = np.log((up + 1) / (down + 1))
+        ridge = np.append(np.full(len(use), 0.02), 1e-6)
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(z @ a, -40, 40)))
+            h = z.T @ (z * (p * (1 - p) + 1e-9)[:, None]) + np.diag(ridge)
+            a = a - np.clip(np.linalg.solve(h, z.T @ (p - goal) + ridge * a), -2, 2)
+        if not use or a[:-1].min() >= 0:
+            break
+        use.pop(int(a[:-1].argmin()))
+    slopes = np.zeros(x.shape[1])
+    slopes[use] = a[:-1]
+    return slopes, float(a[-1])
+
+
 def disguised(s: str) -> list[str]:
     """A segment with a character put in or doubled, at three places."""
     places = sorted({2, len(s) // 2, len(s) - 2})
@@ -261,8 +288,8 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         scorer = Scorer(held.value)
         for batch in batches:
             texts = binary(batch, "text")
-            top = [m for at in range(0, len(texts), 512) for m in scorer.margins(texts[at : at + 512])]
-            p = held.value.probability(np.array(top, float))
+            worst = [scorer.worst(texts[at : at + 512]) for at in range(0, len(texts), 512)]
+            p = held.value.probability(np.concatenate([np.zeros((0, WORST)), *worst]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"]
             )
@@ -281,8 +308,8 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) ->
         scorer = Scorer(held.value)
         for batch in batches:
             texts = binary(batch, "text")
-            top = [m for at in range(0, len(texts), 512) for m in scorer.margins(texts[at : at + 512])]
-            yield batch.filter(pa.array(held.value.probability(np.array(top, float)) < threshold))
+            worst = [scorer.worst(texts[at : at + 512]) for at in range(0, len(texts), 512)]
+            yield batch.filter(pa.array(held.value.probability(np.concatenate([np.zeros((0, WORST)), *worst])) < threshold))
 
     return docs.mapInArrow(scan, docs.schema)
 

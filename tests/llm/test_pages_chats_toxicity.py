@@ -144,10 +144,10 @@ def test_toxicity_on_held_out_rows():
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
     fit = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
     model = toxicity.train([r[1].encode() for r in fit], [r[2] for r in fit])
-    p = model.probability(np.array(toxicity.Scorer(model).margins([r[1].encode() for r in held])))
+    p = model.probability(toxicity.Scorer(model).worst([r[1].encode() for r in held]))
     y = np.array([r[2] for r in held])
     assert (p[y == 1] >= 0.5).mean() > 0.9 and (p[y == 0] >= 0.5).mean() < 0.02
-    plain, gapped, other = model.probability(model.margins(["idiot", "idioot", "theor"]))
+    plain, gapped, other = model.probability(toxicity.Scorer(model).worst([b"the idiot and a moron", b"the idioot and a morron", b"theor of and"]))
     assert plain > 0.5 > other and gapped > 0.5
 
 
