@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 def _double_text(c: Column) -> Column:
     """A double as Python prints it: plain from 1e-4 up to 1e16, with an exponent elsewhere."""
     java, size = c.cast("string"), F.abs(c)
-    plain = F.concat(F.rtrim(F.lit("0"), java.cast("decimal(38,20)").cast("string")), F.lit("0"))
+    plain = F.concat(F.rtrim(java.cast("decimal(38,20)").cast("string"), F.lit("0")), F.lit("0"))
     plain = F.regexp_replace(plain, r"(\.\d+)0$", "$1")
     mantissa = F.regexp_replace(F.regexp_extract(java, r"^(-?[\d.]+)E", 1), r"\.0$", "")
     power = F.regexp_extract(java, r"E(-?\d+)$", 1)
