@@ -9,6 +9,7 @@ so that bins keep their numbers if an executor is lost.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -26,30 +27,80 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The tokenizer's own parting of text, for lowered bytes; bytes of other characters count as letters.
+_UNIT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+")
+
+
 class WordCache:
-    """Token ids by blank-separated word, as little-endian bytes.
+    """Token ids of texts, as little-endian bytes, put together from those of their units.
 
-    The tokenizer drops blanks and joins nothing across them, so a text's ids are those of its words in order.
+    The tokenizer lowers a text and parts it into runs of letters, single digits, runs of other characters and a few
+    endings after an apostrophe, and encodes each by itself; so do the units here.  New letter units are encoded many
+    at a time and parted where a token ends a word.  A text in which a unit beyond ASCII is not all letters, or which
+    may hold a special token, is encoded word by word.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
+        import os
+
+        import numpy as np
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.ids: dict[bytes, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.ids: dict[bytes, bytes | None] = {}
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def _each(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
-        split = [t.split() for t in texts]
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        import numpy as np
+
+        out = []
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) != len(part):
+                out += self._each(part)
+                continue
+            raw = ids.tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts)]
+        return out
+
+    def _learn(self, new: set[bytes]) -> None:
+        letters, rest = [], []
+        for u in new:
+            if u.isalpha() or (not u.isascii() and u.decode().isalpha()):
+                letters.append(u)
+            elif u.isascii():
+                rest.append(u)
+            else:
+                self.ids[u] = None
+        self.ids.update(zip(letters, self._letters([u.decode() for u in letters])))
+        self.ids.update(zip(rest, self._each([u.decode() for u in rest])))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        split = [_UNIT.findall(t.lower()) for t in texts]
         if len(self.ids) > self.most:
             self.ids.clear()
-        new = list(set().union(*split).difference(self.ids))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.ids[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.ids.__getitem__, words)) for words in split]
+        self._learn(set().union(*split).difference(self.ids))
+        out = []
+        for text, units in zip(texts, split):
+            ids = None
+            if b"<|" not in text:
+                try:
+                    ids = b"".join(map(self.ids.__getitem__, units))
+                except TypeError:  # a unit without ids
+                    pass
+            out.append(b"".join(self._each([w.decode() for w in text.split()])) if ids is None else ids)
+        return out
 
 
 def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int], list[int]]:

@@ -1,5 +1,6 @@
 """Operators on documents against brute force, and on odd rows."""
 
+import functools
 import hashlib
 import re
 import zlib
@@ -194,10 +195,15 @@ def test_quality_odd_rows(spark, odd):
     assert quality.train([b"x"], [1]).scores([b"", b"y"]).tolist() == pytest.approx([2 / 3, 2 / 3])
 
 
-def tokens(text):
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(packing.word_tokenizer()).encode(text or "", add_special_tokens=False).ids + [1]
+    return Tokenizer.from_file(packing.word_tokenizer())
+
+
+def tokens(text):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def check_packing(got, docs, capacity):
@@ -235,9 +241,19 @@ def test_packing_in_many_tasks_and_odd_rows(spark, odd):
     bins, total = check_packing(got, docs, 512)
     assert bins <= 1.1 * -(-total // 512) + 1
     out = packing.pack(odd, packing.word_tokenizer()).collect()
-    assert len(out) == len(ODD) and sorted(r.length for r in out)[:3] == [1, 1, 1]
+    assert len(out) == len(ODD) + 1 and sorted(r.length for r in out)[:3] == [1, 1, 1]  # one has over 4096 tokens
     assert packing.pack(odd.limit(0), packing.word_tokenizer()).count() == 0
 
 
+def test_word_cache_is_the_tokenizer():
+    texts = ["It's don't THE The the, the,, (the) a1b2 3.14 e\u0301t\u00e9 \u00c9t\u00e9! \u0130x \u03a3\u039f\u03a3 \u212a \ufb01n x\u0338 \U0001f600ok", "", "<|endoftext|> a<|endoftext|>, l'an'", "\u4f60\u597d,\u4e16\u754c \u1112\u1161\u11ab a\u00a0b\u2003c"]
+    texts += [d["text"] for d in rows("documents")]
+    cache = packing.WordCache(packing.word_tokenizer(), most=50)
+    for _ in range(2):
+        got = cache.encode([t.encode() for t in texts])
+        for t, g in zip(texts, got):
+            assert np.frombuffer(g, "<u4").tolist() == tokens(t)[:-1], t[:80]
+
+
 def test_best_fit_takes_the_fullest_bin():
     assert packing.best_fit([6, 5, 4, 5], 10) == ([0, 1, 0, 1], [0, 0, 6, 5], [10, 10])
