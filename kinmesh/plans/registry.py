@@ -55,12 +55,12 @@ def gold(spark: SparkSession, d: str) -> LabeledPairs:
 
 
 def scored(df: DataFrame) -> DataFrame:
-    return df.select("right_id", "left_id", F.round("similarity", 6).alias("similarity"))
+    return df.select("right_id", "left_id", "similarity")
 
 
 def outcome(result: LinkageResult) -> DataFrame:
     out = result.outcomes
-    return out.select("left_id", "right_id", F.round("similarity", 6).alias("similarity"), "match", F.round("confidence", 6).alias("confidence"), "error")
+    return out.select("left_id", "right_id", "similarity", "match", F.round("confidence", 6).alias("confidence"), "error")
 
 
 def linked(spark: SparkSession, d: str) -> LinkageResult:
@@ -194,7 +194,7 @@ def q_pair_completeness(spark, d):
 
 def q_threshold_sweep(spark, d):
     rows = M.sweep_rows(unscored(spark, d), gold(spark, d).pairs, directed=False)
-    return rows.select(F.round("threshold", 6).alias("threshold"), *(F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn")))
+    return rows.select("threshold", *(F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn")))
 
 
 def q_threshold_grid(spark, d):
@@ -305,7 +305,7 @@ gold AS (SELECT DISTINCT least(a.vec_id::VARCHAR, b.vec_id::VARCHAR) AS k1, grea
          FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id),
 hk AS (SELECT *, least(left_id, right_id) AS k1, greatest(left_id, right_id) AS k2 FROM h),
 uk AS (SELECT *, least(left_id, right_id) AS k1, greatest(left_id, right_id) AS k2 FROM u)"""
-_OUT = "left_id, right_id, round(similarity, 6) AS similarity, {match} AS match, NULL::DOUBLE AS confidence, {error} AS error"
+_OUT = "left_id, right_id, similarity, {match} AS match, NULL::DOUBLE AS confidence, {error} AS error"
 _ERROR = "CASE WHEN similarity IS NULL THEN 'ThresholdMatcher needs a similarity score; the candidate pair carried none' END"
 _PLAIN = _OUT.format(match="similarity >= 0.3", error="NULL::VARCHAR")
 _CRC = """
@@ -345,14 +345,14 @@ ORACLE_SQL = {
     "duplicate_ids": "SELECT l_orderkey::VARCHAR AS id, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1",
     "ngram_counts": f"WITH {_GRAMS} SELECT s AS gram, count(*) AS n FROM grams GROUP BY s",
     "ngram_buckets": f"WITH RECURSIVE {_GRAMS}, words AS (SELECT DISTINCT s FROM grams), {_CRC} SELECT (crc % 256)::INT AS bucket, count(*) AS n FROM grams JOIN crc USING (s) GROUP BY 1",
-    "knn_topk": f"WITH {_HITS} SELECT right_id, left_id, round(similarity, 6) AS similarity FROM r WHERE rank <= 6",
-    "knn_blocks": f"WITH {_HITS} SELECT right_id, left_id, round(similarity, 6) AS similarity FROM r WHERE rank <= 6",
-    "block_threshold": f"WITH {_HITS} SELECT right_id, left_id, round(similarity, 6) AS similarity FROM r WHERE rank <= 10 AND similarity >= 0.25",
-    "candidates_override": f"WITH {_HITS} SELECT right_id, left_id, round(similarity, 6) AS similarity FROM r WHERE rank <= 2",
+    "knn_topk": f"WITH {_HITS} SELECT right_id, left_id, similarity FROM r WHERE rank <= 6",
+    "knn_blocks": f"WITH {_HITS} SELECT right_id, left_id, similarity FROM r WHERE rank <= 6",
+    "block_threshold": f"WITH {_HITS} SELECT right_id, left_id, similarity FROM r WHERE rank <= 10 AND similarity >= 0.25",
+    "candidates_override": f"WITH {_HITS} SELECT right_id, left_id, similarity FROM r WHERE rank <= 2",
     "link_decisions": f"WITH {_HITS} SELECT {_PLAIN} FROM h",
     "unscored_errors": f"WITH {_HITS} SELECT {_OUT.format(match='similarity >= 0.3', error=_ERROR)} FROM u",
-    "filter_threshold": f"WITH {_HITS} SELECT right_id, left_id, round(similarity, 6) AS similarity FROM u WHERE similarity IS NULL OR similarity >= 0.3",
-    "filter_drop_unscored": f"WITH {_HITS} SELECT right_id, left_id, round(similarity, 6) AS similarity FROM u WHERE similarity >= 0.3",
+    "filter_threshold": f"WITH {_HITS} SELECT right_id, left_id, similarity FROM u WHERE similarity IS NULL OR similarity >= 0.3",
+    "filter_drop_unscored": f"WITH {_HITS} SELECT right_id, left_id, similarity FROM u WHERE similarity >= 0.3",
     "dedupe_pairs": f"WITH {_HITS} SELECT {_PLAIN} FROM (SELECT *, row_number() OVER (PARTITION BY k1, k2 ORDER BY right_pos, rank) AS n FROM hk) WHERE n = 1",
     "pairs_from_frame": "SELECT o_custkey::VARCHAR AS left_id, o_orderkey::VARCHAR AS right_id, o_totalprice AS similarity, c_name AS left_text, o_orderstatus || '/' || o_orderpriority AS right_text FROM orders JOIN customer ON o_custkey = c_custkey",
     "match_jaccard": f"WITH {_PARTS}, j AS (SELECT *, len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) AS j FROM w) SELECT left_id, right_id, NULL::DOUBLE AS similarity, j >= 0.4 AS match, round(j, 6) AS confidence, NULL::VARCHAR AS error FROM j",
@@ -360,16 +360,16 @@ ORACLE_SQL = {
     "linkage_metrics": f"WITH {_HITS}, marks AS (SELECT left_id AS k1, right_id AS k2, coalesce(similarity >= 0.3, false)::INT AS p, (similarity IS NULL)::INT AS e, 0 AS g FROM u UNION ALL SELECT left_id, right_id, 0, 0, 1 FROM gold), {_COUNTS}",
     "linkage_metrics_undirected": f"WITH {_HITS}, marks AS (SELECT k1, k2, (similarity >= 0.3)::INT AS p, 0 AS e, 0 AS g FROM hk UNION ALL SELECT k1, k2, 0, 0, 1 FROM gold), {_COUNTS}",
     "pair_completeness": f"WITH {_HITS}, rk AS (SELECT *, row_number() OVER (PARTITION BY right_id ORDER BY similarity DESC, left_id) AS place FROM hk), best AS (SELECT k1, k2, min(place) AS place FROM rk GROUP BY ALL) SELECT k, round(count(*) FILTER (place <= k) / count(*)::DOUBLE, 9) AS pc FROM (VALUES (1), (2), (3), (5)) ks(k) CROSS JOIN (SELECT DISTINCT k1, k2 FROM gold) g LEFT JOIN best USING (k1, k2) GROUP BY k",
-    "threshold_sweep": f"WITH {_HITS}, {_SWEEP.format(grid=_SCORES)} SELECT round(threshold, 6) AS threshold, tp, fp, fn FROM sweep",
+    "threshold_sweep": f"WITH {_HITS}, {_SWEEP.format(grid=_SCORES)} SELECT threshold, tp, fp, fn FROM sweep",
     "threshold_grid": f"WITH {_HITS}, {_SWEEP.format(grid='SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5])::DOUBLE AS t')} SELECT * FROM sweep",
-    "best_f1": f"WITH {_HITS}, {_SWEEP.format(grid=_SCORES)} SELECT round(threshold, 6) AS threshold, round(2 * tp / (2 * tp + fp + fn)::DOUBLE, 9) AS f1 FROM sweep ORDER BY f1 DESC, threshold DESC LIMIT 1",
+    "best_f1": f"WITH {_HITS}, {_SWEEP.format(grid=_SCORES)} SELECT threshold, round(2 * tp / (2 * tp + fp + fn)::DOUBLE, 9) AS f1 FROM sweep ORDER BY f1 DESC, threshold DESC LIMIT 1",
     "adjusted_metrics": f"""WITH {_HITS}, rk AS (SELECT *, row_number() OVER (PARTITION BY right_id ORDER BY similarity DESC, left_id) AS place FROM hk),
 best AS (SELECT k1, k2, min(place) AS place, max(similarity) AS s FROM rk GROUP BY ALL), g AS (SELECT DISTINCT k1, k2 FROM gold),
 c AS (SELECT count(*) FILTER (place <= 3)::DOUBLE / count(*) AS pc FROM g LEFT JOIN best USING (k1, k2)),
 m AS (SELECT count(*) FILTER (s >= 0.3 AND g.k1 IS NOT NULL) AS tp, count(*) FILTER (s >= 0.3 AND g.k1 IS NULL) AS fp, count(*) FILTER (s < 0.3 AND g.k1 IS NOT NULL) AS fn FROM best LEFT JOIN g ON g.k1 = best.k1 AND g.k2 = best.k2),
 x AS (SELECT pc, tp::DOUBLE / (tp + fp) AS p, pc * tp / (tp + fn) AS r FROM c, m)
 SELECT round(pc, 9) AS pc, round(p, 9) AS precision, round(r, 9) AS recall_adjusted, round(2 * p * r / (p + r), 9) AS f1_adjusted FROM x""",
-    "hard_negatives": f"WITH {_HITS} SELECT right_id, left_id, round(similarity, 6) AS similarity FROM hk WHERE (k1, k2) NOT IN (SELECT (k1, k2) FROM gold) ORDER BY hk.similarity DESC, left_id, right_id LIMIT 50",
+    "hard_negatives": f"WITH {_HITS} SELECT right_id, left_id, similarity FROM hk WHERE (k1, k2) NOT IN (SELECT (k1, k2) FROM gold) ORDER BY hk.similarity DESC, left_id, right_id LIMIT 50",
     "connected_components": f"WITH RECURSIVE {_HITS}, {_COMPONENTS} SELECT id AS record_id, (dense_rank() OVER (ORDER BY root) - 1)::INT AS cluster_id FROM roots",
     "b3": f"""WITH RECURSIVE {_HITS}, {_COMPONENTS}, x AS (SELECT root AS c, label AS g FROM roots JOIN embeddings ON vec_id::VARCHAR = id),
 o AS (SELECT c, g, count(*) AS o FROM x GROUP BY ALL), p AS (SELECT c, count(*) AS p FROM x GROUP BY c), q AS (SELECT g, count(*) AS q FROM x GROUP BY g)
