@@ -235,7 +235,9 @@ def captures(found: DataFrame) -> DataFrame:
     out = main.join(beside("request"), "record_id", "left").join(beside("metadata"), "record_id", "left")
     kept = out.where("type = 'response'").groupBy(F.col("record_id").alias("refers_to"))
     kept = kept.agg(F.min(F.struct("record_id", "target_uri", "payload_bytes", "payload_digest", F.col("metadata.fields").alias("fields"))).alias("original"))
-    return out.join(kept, "refers_to", "left")
+    # a response meets its own row, so that captures without a reference are not all one key
+    met = out.withColumn("__key", F.coalesce("refers_to", "record_id")).join(kept.withColumnRenamed("refers_to", "__key"), "__key", "left")
+    return met.withColumn("original", F.when(F.col("refers_to").isNotNull(), F.col("original"))).drop("__key")
 
 
 def _page_id(fields: str) -> Column:
