@@ -66,8 +66,8 @@ def triples(parts: list[str]):
 def apply_table(parts: list[str], weights: np.ndarray) -> np.ndarray:
     """The weighted sum of each segment's triples."""
     out = np.zeros(len(parts))
-    for at in range(0, len(parts), 50_000):
-        part = parts[at : at + 50_000]
+    for at in range(0, len(parts), 10_000):
+        part = parts[at : at + 10_000]
         for h, own, w in triples(part):
             out[at : at + len(part)] += np.bincount(own, w * weights[h], len(part))
     return out
@@ -160,8 +160,8 @@ def fit_table(landmarks: list[str], good: list[str], bad: list[str], cost: np.nd
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     rows = good + bad
     k = np.zeros((len(rows), len(landmarks)))
-    for at in range(0, len(rows), 2000):
-        part = rows[at : at + 2000]
+    for at in range(0, len(rows), 400):
+        part = rows[at : at + 400]
         x = np.zeros((len(part), len(used)), np.float32)
         for h, own, w in triples(part):
             s = slot[h]
@@ -180,7 +180,14 @@ def train(texts: list[bytes], labels: list[int], rounds: int = 3) -> ToxicityMod
     rate = (y.sum() + 1) / (len(y) + 2)
     if len(set(labels)) < 2:
         return ToxicityModel(np.zeros(1 << BITS, np.float32), 0.0, np.zeros(WORST), float(np.log(rate / (1 - rate))))
-    bags = [sorted({s for part in _SENTENCE.split(t) for w in words_of(part) for s in segments(w.decode())}) for t in texts]
+    bags, parted = [], {}
+    shared: dict[str, str] = {}  # texts have most segments in common
+    for t in texts:
+        words = {w for part in _SENTENCE.split(t) for w in words_of(part)}
+        for w in words.difference(parted):
+            parted[w] = [shared.setdefault(s, s) for s in segments(w.decode())]
+        bags.append(sorted({s for w in words for s in parted[w]}))
+    del parted, shared
     fold = np.arange(len(y)) % 5 == 4
     toxic, clean = np.flatnonzero((y > 0) & ~fold), np.flatnonzero((y == 0) & ~fold)
     in_toxic, in_clean = Counter(s for i in toxic for s in bags[i]), Counter(s for i in clean for s in bags[i])
