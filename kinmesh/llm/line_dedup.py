@@ -54,9 +54,11 @@ def _chunked(docs: DataFrame, long_line: int, text: bool) -> DataFrame:
         size = (c["b"] - c["a"]).alias("lines")
         return F.struct(c["a"].alias("first"), size, words.alias("words"), body.alias("text"))
 
-    rows = cut.select(*_KEY, F.posexplode(F.transform("cut", chunk)).alias("no", "c"))
+    # numbered without those that have no words, so that blank lines between paragraphs do not end a run
+    worded = F.filter(F.transform("cut", chunk), lambda c: c["words"] > 0)
+    rows = cut.select(*_KEY, F.posexplode(worded).alias("no", "c"))
     out = [*_KEY, "no", "c.first", "c.lines", "c.words", F.xxhash64("c.text").alias("hash")]
-    return rows.where("c.words > 0").select(*out, *(["c.text"] if text else []))
+    return rows.select(*out, *(["c.text"] if text else []))
 
 
 def repeated_chunks(keyed: DataFrame, *, long_line: int = 20, min_words: int = 30) -> DataFrame:

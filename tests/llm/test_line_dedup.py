@@ -26,6 +26,14 @@ def test_long_lines_and_passages_go_once(spark):
         assert len(got[k].split()) < 50
 
 
+def test_blank_lines_between_paragraphs_do_not_end_a_run(spark):
+    passage = "\n\n".join(" ".join(f"p{i}_{j}" for j in range(25)) for i in range(5))
+    got = texts(run(spark, [(k, f"Own start {k}\n\n{passage}\n\nown end {k}", 0, "s") for k in range(3)]))
+    assert got[0] == f"Own start 0\n\n{passage}\n\nown end 0"
+    for k in (1, 2):
+        assert got[k].split() == f"Own start {k} own end {k}".split()
+
+
 def test_clean_and_short_repeats_stay(spark):
     rows = [(k, f"Alone {k}\nshort line that many have\nend {k}", 5, "s") for k in range(5)]
     out = run(spark, rows).collect()
