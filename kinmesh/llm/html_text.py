@@ -3,7 +3,8 @@
 A page is parsed once into a tree of its block elements; neighbouring siblings of one kind become one node, as lists
 do in wrappers.  Pages of one host meet in blocks of at most ``block`` pages (a large host's pages are dealt out by a
 hash, so no host is one task's work).  In a block, simple tree matching aligns each page's tree with that of the
-first page: aligned nodes whose text is the same in most pages are the template, the others are slots.  The slot
+first page: aligned nodes whose text is the same in most pages are the template, also inside article and main, and
+so are single headings and paragraphs that most pages have in one node; the others are slots.  The slot
 that holds the text, voted by the block's pages, is the wrapper's content; a page of a host without others has only
 what its tags tell.  Elements for menus, adverts, forms and the like never are content.
 """
@@ -47,6 +48,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?(?=[\s/]|$)""", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _NAME = re.compile(r"[a-z]+")
+_SINGLE = re.compile(r"(?:p|h[1-6])(?![a-z0-9])")
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -163,6 +165,7 @@ class Tree:
         self.path = ["#"] * n
         self.own: list[int] = [0] * n
         self.size = [0] * n
+        self.single = [_SINGLE.match(x) is not None for x in self.label]
         for i in range(1, n):
             self.children[self.parent[i]].append(i)
             self.path[i] = f"{self.path[self.parent[i]]}/{self.label[i]}"
@@ -254,16 +257,18 @@ def extract(trees: list[Tree]) -> list[str]:
     known = n >= 3 and max(differ.values()) <= 0.5 * n
     template = {x for x in met if known and first.own[x] and met[x] >= 0.6 * n and same[x] >= 0.8 * met[x]}
     constant = [{y for y, x in m.items() if x in template} for m in maps]
+    # a list of headings or paragraphs is one node, so each text of it is judged by itself
+    shared = Counter(key for t, m in zip(trees, maps) for key in {(m[y], text) for y, text in t.texts if y in m and t.single[y]})
+    common = {key for key, k in shared.items() if known and met[key[0]] >= 0.6 * n and k >= 0.8 * met[key[0]]}
     own = [content_path(t, c) for t, c in zip(trees, constant)]
     wrapper = max(Counter(own).items(), key=lambda x: (x[1], x[0]))[0]
     out = []
-    for t, fixed, path in zip(trees, constant, own):
+    for t, m, fixed, path in zip(trees, maps, constant, own):
         top = wrapper if wrapper in t.path else path
-        named = re.search(r"(?:^|/)(?:article|main)\b[^/]*$|!$", top) is not None
         inside = [False] * len(t.label)
         for i in range(len(t.label)):
             inside[i] = t.path[i] == top or (i > 0 and inside[t.parent[i]])
-        kept = [text for i, text in t.texts if inside[i] and not t.boiler[i] and (named or i not in fixed)]
+        kept = [text for i, text in t.texts if inside[i] and not t.boiler[i] and i not in fixed and (m.get(i), text) not in common]
         out.append("\n".join(kept))
     return out
 

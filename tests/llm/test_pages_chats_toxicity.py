@@ -105,6 +105,13 @@ def test_html_leaves_out_what_is_no_article():
     assert [text_of(s)[0] for s in ("", "plain &lt; text", "<div>" * 300 + "deep")] == ["", "plain < text", "deep"]
 
 
+def test_html_template_inside_an_article_goes():
+    bodies = [f"<article><h1>Head {k}</h1><div class=box>About our author</div><p>Story {k} is long enough.<p>Follow us every day.<p>End of {k}.<ul><li>one {k}<li>two</ul></article>" for k in range(5)]
+    got = text_of(*(page(k, b) for k, b in enumerate(bodies)))
+    assert got == [f"Head {k}\nStory {k} is long enough.\nEnd of {k}.\none {k}\ntwo" for k in range(5)]
+    assert text_of(*[page(1, bodies[1])] * 5)[0].count("\n") == 6
+
+
 def test_html_odd_rows(spark):
     rows = [(1, None, None), (2, "http://h/", ""), (2, "http://h/", ""), (None, "//h/x", "<p>x"), (3, "http://h/3", "<article>" + "<p>w</p>" * 20_000)]
     df = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")
