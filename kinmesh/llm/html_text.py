@@ -6,7 +6,8 @@ hash, so no host is one task's work).  In a block, simple tree matching aligns e
 first page: aligned nodes whose text is the same in most pages are the template, also inside article and main, and
 so are single headings and paragraphs that most pages have in one node; the others are slots.  The slot
 that holds the text, voted by the block's pages, is the wrapper's content; a page of a host without others has only
-what its tags tell.  Elements for menus, adverts, forms and the like never are content.
+what its tags tell.  Elements for menus, adverts, forms and the like never are content; class words tell such ones
+too, unless they would hide the article, main or almost all text of most pages that have the element.
 """
 
 from __future__ import annotations
@@ -41,6 +42,9 @@ BOILER_NAMES = set(
     "discussion search searchbox skip".split()
 )
 
+#: Parts of a class word that say something about a listed part of it, as in no-sidebar and comments-open.
+MODIFIERS = set("with without no not non has have is free open closed enabled disabled on off".split())
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S,
@@ -55,11 +59,19 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(text)} if text else {}
 
 
+def _boiler_name(names: str) -> bool:
+    """Whether a class or id, of lowered names, tells boilerplate: one that has a listed part and no modifier."""
+    return any(kinds & BOILER_NAMES and not kinds & MODIFIERS for kinds in (set(_NAME.findall(x)) for x in names.split()))
+
+
 class Page:
-    """A page's block elements.  parent, label and boiler of each node; texts: (node, block of text), in page order."""
+    """A page's block elements.  parent, label and boiler of each node; texts: (node, block of text), in page order.
+
+    boiler has tags, roles and hidden elements and what is below; called has nodes whose class or id is of boilerplate.
+    """
 
     def __init__(self, source: str):
-        self.parent, self.label, self.boiler, self.link = [-1], ["#"], [False], [0]
+        self.parent, self.label, self.boiler, self.called, self.link = [-1], ["#"], [False], [False], [0]
         self.texts: list[tuple[int, str]] = []
         self._last: dict[int, int] = {}  # a node's last child
         self._stack: list[tuple[str, int]] = [("#", 0)]
@@ -97,20 +109,21 @@ class Page:
         boiler = (
             self.boiler[above] or tag in BOILER_TAGS or a.get("role", "").lower() in BOILER_ROLES or "hidden" in a
             or a.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(a.get("style", "")))
-            or (tag not in ("html", "body", "article", "main") and bool(kinds & BOILER_NAMES))
             or (tag == "header" and not any(t in ("article", "main") for t, _ in stack))
         )
+        called = tag not in ("html", "body", "article", "main") and bool(kinds & BOILER_NAMES) and _boiler_name(names)
         label = f"{tag}.{'.'.join(sorted(kinds))}" if kinds else tag
         if a.get("role", "").lower() == "main" or a.get("itemprop", "").lower() == "articlebody":
             label += "!"
         last = self._last.get(above)
-        if last is not None and self.label[last] == label and self.boiler[last] == boiler:
+        if last is not None and self.label[last] == label and self.boiler[last] == boiler and self.called[last] == called:
             node = last  # one more of a list
         else:
             node = len(self.label)
             self.parent.append(above)
             self.label.append(label)
             self.boiler.append(boiler)
+            self.called.append(called)
             self.link.append(0)
             self._last[above] = node
         if tag not in VOID:
@@ -152,14 +165,14 @@ class Page:
         self._flush()
 
     def pack(self) -> bytes:
-        return zlib.compress(json.dumps([self.parent, self.label, self.boiler, self.link, self.texts], ensure_ascii=False).encode("utf-8", "surrogatepass"), 1)
+        return zlib.compress(json.dumps([self.parent, self.label, self.boiler, self.called, self.link, self.texts], ensure_ascii=False).encode("utf-8", "surrogatepass"), 1)
 
 
 class Tree:
     """What pack() kept, with children, paths and a hash of each node's own text."""
 
     def __init__(self, packed: bytes):
-        self.parent, self.label, self.boiler, self.link, self.texts = json.loads(zlib.decompress(packed).decode("utf-8", "surrogatepass"))
+        self.parent, self.label, self.boiler, self.called, self.link, self.texts = json.loads(zlib.decompress(packed).decode("utf-8", "surrogatepass"))
         n = len(self.label)
         self.children: list[list[int]] = [[] for _ in range(n)]
         self.path = ["#"] * n
@@ -172,6 +185,32 @@ class Tree:
         for node, text in self.texts:
             self.own[node] = zlib.crc32(text.encode("utf-8", "surrogatepass"), self.own[node])
             self.size[node] += len(text)
+        self.hard = self.boiler
+        self.mark(set())
+
+    def mark(self, spared: set[int]) -> None:
+        """Set boiler: what tags tell, and what is in an element called so by its class, but for the spared nodes."""
+        self.boiler = self.hard[:]
+        for i in range(1, len(self.label)):
+            below = self.boiler[self.parent[i]] and not (self.parent[i] in spared and i in spared)
+            self.boiler[i] = self.hard[i] or below or (self.called[i] and i not in spared)
+
+    def slot(self) -> tuple[set[int], bool]:
+        """The nodes from the root to the page's article, main or most text by tags alone, and whether class words hide it."""
+        named = [i for i in range(len(self.label)) if not self.hard[i] and (self.label[i].endswith("!") or self.label[i].split(".")[0] in ("article", "main"))]
+        boiler, self.boiler = self.boiler, self.hard
+        left, most = (sum(x for x, b in zip(self.size, dropped) if not b) for dropped in (boiler, self.hard))
+        if named:
+            at = max(named, key=lambda i: (_mass(self, i), -i))
+            hidden = all(boiler[i] for i in named) and left <= 0.5 * most
+        else:
+            at = _heaviest(self, set())
+            hidden = left <= 0.2 * most
+        self.boiler = boiler
+        way = {at}
+        while (at := self.parent[at]) >= 0:
+            way.add(at)
+        return way, hidden and any(self.called[i] for i in way)
 
 
 def match(a: Tree, b: Tree) -> dict[int, int]:
@@ -223,6 +262,12 @@ def content_path(tree: Tree, constant: set[int]) -> str:
         found = [i for i in range(n) if not tree.boiler[i] and (tree.label[i].endswith("!") if wanted == "!" else tree.label[i].split(".")[0].rstrip("!") == wanted)]
         if found:
             return tree.path[max(found, key=lambda i: (_mass(tree, i), -i))]
+    return tree.path[_heaviest(tree, constant)]
+
+
+def _heaviest(tree: Tree, constant: set[int]) -> int:
+    """The deepest node that holds four fifths of the text, as far as it is neither boilerplate nor template."""
+    n = len(tree.label)
     mass = [0 if tree.boiler[i] or i in constant else max(0, tree.size[i] - 2 * tree.link[i]) for i in range(n)]
     total = mass[:]
     for i in range(n - 1, 0, -1):
@@ -232,7 +277,7 @@ def content_path(tree: Tree, constant: set[int]) -> str:
         if tree.label[below[0]].split(".")[0] in ("p", "li", "ul", "ol", "table", "blockquote", "pre", "dl"):
             break
         at = below[0]
-    return tree.path[at]
+    return at
 
 
 def _mass(tree: Tree, top: int) -> int:
@@ -245,6 +290,16 @@ def _mass(tree: Tree, top: int) -> int:
 
 def extract(trees: list[Tree]) -> list[str]:
     """The main texts of pages of one host."""
+    # class words that would hide the text of most pages with the same element are not believed
+    slots = [t.slot() for t in trees]
+    hidden, seen = Counter(), Counter()
+    for t, (way, hides) in zip(trees, slots):
+        for i in way:
+            hidden[t.path[i]] += hides and t.called[i]
+        seen.update({t.path[i] for i in range(len(t.label)) if t.called[i] and not t.hard[i]})
+    for t, (way, hides) in zip(trees, slots):
+        if hides and all(2 * hidden[t.path[i]] > seen[t.path[i]] for i in way if t.called[i]):
+            t.mark(way)
     first, n = trees[0], len(trees)
     maps = [match(first, t) for t in trees]
     met, same, differ = Counter(), Counter(), Counter()

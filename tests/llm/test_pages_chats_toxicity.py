@@ -112,6 +112,17 @@ def test_html_template_inside_an_article_goes():
     assert text_of(*[page(1, bodies[1])] * 5)[0].count("\n") == 6
 
 
+@pytest.mark.parametrize("name", ["class='with-sidebar'", "class='no-sidebar wide'", "id=comments-open", "class=ad-free", "class='banner-layout'", "class=sidebar"])
+def test_html_class_words_do_not_hide_the_text(name):
+    text = "<h1>Title</h1><p>One has some words.<p>Two has more of them.<div class='share'>no</div>"
+    for body in (f"<div {name}><article>{text}</article></div>", f"<div {name}><div>{text}</div></div>"):
+        got = text_of(f"<html><body><nav>Home</nav>{body}<footer>All of us</footer></body></html>")
+        assert got == ["Title\nOne has some words.\nTwo has more of them."]
+    comments = "<div class=comments><article><p>I say no, no and no again to all of it.</article></div>"
+    for tag in ("article", "div"):
+        assert text_of(f"<html><body><{tag}><p>Much of the text of this page is here, and more.</{tag}>{comments}</body></html>") == ["Much of the text of this page is here, and more."]
+
+
 def test_html_odd_rows(spark):
     rows = [(1, None, None), (2, "http://h/", ""), (2, "http://h/", ""), (None, "//h/x", "<p>x"), (3, "http://h/3", "<article>" + "<p>w</p>" * 20_000)]
     df = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")
