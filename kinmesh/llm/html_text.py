@@ -2,9 +2,10 @@
 
 A page is parsed once into a tree of its block elements; neighbouring siblings of one kind become one node, as lists
 do in wrappers.  Pages of one host meet in blocks of at most ``block`` pages (a large host's pages are dealt out by a
-hash, so no host is one task's work).  In a block, simple tree matching aligns each page's tree with that of the
-first page: aligned nodes whose text is the same in most pages are the template, also inside article and main, and
-so are single headings and paragraphs that most pages have in one node; the others are slots.  The slot
+hash, so no host is one task's work).  In a block, simple tree matching aligns each page's tree with that of a
+representative page of its layout: aligned nodes whose text is the same in most pages are the template, also inside
+article and main, and so are single headings and paragraphs that most pages have in one node; the others are slots.
+A group of copies has one vote.  The slot
 that holds the text, voted by the block's pages, is the wrapper's content; a page of a host without others has only
 what its tags tell.  Elements for menus, adverts, forms and the like never are content; class words tell such ones
 too, unless they would hide the article, main or almost all text of most pages that have the element.
@@ -288,6 +289,53 @@ def _mass(tree: Tree, top: int) -> int:
     return sum(tree.size[i] for i in inside if not tree.boiler[i])
 
 
+def distinct(trees: list[Tree]) -> list[int]:
+    """The first page of each group of copies: pages that share more than half of the longer text, by whole blocks."""
+    out: list[tuple[int, set[str], int]] = []
+    for k, t in enumerate(trees):
+        texts = {text for i, text in t.texts if not t.hard[i]}
+        size = sum(map(len, texts))
+        if not any(2 * sum(map(len, texts & other)) > max(size, n) or size == n == 0 for _, other, n in out):
+            out.append((k, texts, size))
+    return [k for k, _, _ in out]
+
+
+def layouts(trees: list[Tree], voters: list[int]) -> list[list[int]]:
+    """Pages by layout, the reference of each first: the page whose paths most of the pages left have."""
+    paths, left, votes = [set(t.path) for t in trees], list(range(len(trees))), set(voters)
+    out = []
+    while left:
+        ask = [k for k in left if k in votes] or left
+        count = Counter(x for k in ask for x in paths[k])
+        best = max(ask, key=lambda k: (sum(2 * count[x] - len(ask) for x in paths[k]), -k))
+        near = [k for k in left if k != best and 5 * len(paths[k] & paths[best]) >= 2 * len(paths[k] | paths[best])]
+        out.append([best, *near])
+        gone = set(out[-1])
+        left = [k for k in left if k not in gone]
+    return out
+
+
+def template(trees: list[Tree], group: list[int], voters: list[int]):
+    """(page, its nodes of template, its texts of template by number) of pages of one layout; each distinct page has one vote."""
+    votes = set(voters) & set(group)
+    n = len(votes)
+    if n < 3:
+        return
+    maps = {k: match(trees[group[0]], trees[k]) for k in group}
+    met, same, shared = Counter(), Counter(), Counter()
+    for k in votes:
+        t, m = trees[k], maps[k]
+        met.update(m.values())
+        same.update((x, t.own[y]) for y, x in m.items() if t.own[y])
+        # a list of headings or paragraphs is one node, so each text of it is judged by itself
+        shared.update({(m[y], text) for y, text in t.texts if y in m and t.single[y]})
+    fixed = {x for x, k in same.items() if met[x[0]] >= 0.6 * n and k >= 0.8 * met[x[0]]}
+    common = {x for x, k in shared.items() if met[x[0]] >= 0.6 * n and k >= 0.8 * met[x[0]]}
+    for k in group:
+        t, m = trees[k], maps[k]
+        yield k, {y for y, x in m.items() if (x, t.own[y]) in fixed}, {j for j, (y, text) in enumerate(t.texts) if (m.get(y), text) in common}
+
+
 def extract(trees: list[Tree]) -> list[str]:
     """The main texts of pages of one host."""
     # class words that would hide the text of most pages with the same element are not believed
@@ -300,30 +348,21 @@ def extract(trees: list[Tree]) -> list[str]:
     for t, (way, hides) in zip(trees, slots):
         if hides and all(2 * hidden[t.path[i]] > seen[t.path[i]] for i in way if t.called[i]):
             t.mark(way)
-    first, n = trees[0], len(trees)
-    maps = [match(first, t) for t in trees]
-    met, same, differ = Counter(), Counter(), Counter()
-    for t, m in zip(trees, maps):
-        differ[zlib.crc32(repr(t.own).encode())] += 1
-        for y, x in m.items():
-            met[x] += 1
-            same[x] += t.own[y] == first.own[x]
-    # copies of one page tell nothing about a template
-    known = n >= 3 and max(differ.values()) <= 0.5 * n
-    template = {x for x in met if known and first.own[x] and met[x] >= 0.6 * n and same[x] >= 0.8 * met[x]}
-    constant = [{y for y, x in m.items() if x in template} for m in maps]
-    # a list of headings or paragraphs is one node, so each text of it is judged by itself
-    shared = Counter(key for t, m in zip(trees, maps) for key in {(m[y], text) for y, text in t.texts if y in m and t.single[y]})
-    common = {key for key, k in shared.items() if known and met[key[0]] >= 0.6 * n and k >= 0.8 * met[key[0]]}
+    voters = distinct(trees)
+    constant: list[set[int]] = [set()] * len(trees)
+    common: list[set[int]] = [set()] * len(trees)  # the texts, by number, that are template
+    for group in layouts(trees, voters):
+        for k, nodes, places in template(trees, group, voters):
+            constant[k], common[k] = nodes, places
     own = [content_path(t, c) for t, c in zip(trees, constant)]
-    wrapper = max(Counter(own).items(), key=lambda x: (x[1], x[0]))[0]
+    wrapper = max(Counter(own[k] for k in voters).items(), key=lambda x: (x[1], x[0]))[0]
     out = []
-    for t, m, fixed, path in zip(trees, maps, constant, own):
+    for t, fixed, texts, path in zip(trees, constant, common, own):
         top = wrapper if wrapper in t.path else path
         inside = [False] * len(t.label)
         for i in range(len(t.label)):
             inside[i] = t.path[i] == top or (i > 0 and inside[t.parent[i]])
-        kept = [text for i, text in t.texts if inside[i] and not t.boiler[i] and i not in fixed and (m.get(i), text) not in common]
+        kept = [text for k, (i, text) in enumerate(t.texts) if inside[i] and not t.boiler[i] and i not in fixed and k not in texts]
         out.append("\n".join(kept))
     return out
 

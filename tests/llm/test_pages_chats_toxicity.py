@@ -123,6 +123,26 @@ def test_html_class_words_do_not_hide_the_text(name):
         assert text_of(f"<html><body><{tag}><p>Much of the text of this page is here, and more.</{tag}>{comments}</body></html>") == ["Much of the text of this page is here, and more."]
 
 
+def test_html_template_despite_an_odd_first_page_and_copies():
+    def body(k):
+        return f"<div class=top>Weather and traffic of our town</div><div class=story><h2>Head {k}</h2><p>Story {k} is as long as others, number {k}.<div class=box>Written by our staff</div><p>Second part of {k}.</div>"
+
+    def want(k):
+        return f"Head {k}\nStory {k} is as long as others, number {k}.\nSecond part of {k}."
+
+    different = [page(k, body(k)) for k in range(5)]
+    for odd in ("", "<html><body><h1>404</h1><p>No such page</body></html>", page(9, "<div class=top>Weather and traffic of our town</div>")):
+        assert text_of(odd, *different)[1:] == [want(k) for k in range(5)]
+    assert text_of(*[different[0]] * 9, *different[1:]) == [want(0)] * 9 + [want(k) for k in range(1, 5)]
+
+
+def test_html_near_copies_are_no_template():
+    long = [f"<p>Paragraph {i} of the text that all of the copies have, word for word." for i in range(6)]
+    for tag in ("article", "div"):
+        pages = [f"<html><body><{tag}><h1>Title</h1>{''.join(long)}<p>Edit {k}</{tag}></body></html>" for k in range(5)]
+        assert [t.count("\n") for t in text_of(*pages)] == [7] * 5
+
+
 def test_html_odd_rows(spark):
     rows = [(1, None, None), (2, "http://h/", ""), (2, "http://h/", ""), (None, "//h/x", "<p>x"), (3, "http://h/3", "<article>" + "<p>w</p>" * 20_000)]
     df = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")
