@@ -284,11 +284,23 @@ def q_stream_link(spark, d):
 
 
 def q_dedupe_documents(spark, d):
-    """The flagship: documents deduplicated by the default linker, and clustered."""
-    source = Source(table(spark, d, "documents"), "doc_id", FieldwiseSerializer(["text"]))
+    """The flagship: documents deduplicated by the default linker, and clustered.
+
+    Of equal texts only the smallest id is linked with others, so that copies take no neighbour's place; the others
+    join its cluster.  A text of blanks equals none.
+    """
+    documents = table(spark, d, "documents")
+    records = read_records(Source(documents, "doc_id", FieldwiseSerializer(["text"])))
+    key = F.when(F.col("text").rlike(r"\S"), F.sha2("text", 256)).otherwise(F.concat(F.lit("id "), "id"))
+    keyed = stash(records.select("id", key.alias("key")), "dedupe-keys")
+    firsts = stash(keyed.groupBy("key").agg(F.min("id").alias("first")), "dedupe-firsts")
+    source = Source(records.select("id", "text").join(firsts.select(F.col("first").alias("id")), "id"), "id", FieldwiseSerializer(["text"]))
     linker = DenseLinker.with_defaults(matcher=ThresholdMatcher(threshold=0.95))
-    result = LinkageResult(stash(linker.dedupe(source).outcomes, "dedupe"))
-    return connected_components(result, all_record_ids=table(spark, d, "documents").select("doc_id")).labels
+    columns = ["left_id", "right_id", "match", "error"]
+    linked = stash(linker.dedupe(source).outcomes.select(columns), "dedupe")
+    equal = keyed.join(firsts, "key").where(F.col("id") != F.col("first"))
+    equal = equal.select(F.col("first").alias("left_id"), F.col("id").alias("right_id"), F.lit(True).alias("match"), F.lit(None).cast("string").alias("error"))
+    return connected_components(LinkageResult(linked.union(equal)), all_record_ids=documents.select("doc_id")).labels
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
