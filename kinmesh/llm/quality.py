@@ -2,7 +2,8 @@
 
 The model is trained on labelled quality rows, calibrated by Platt's method on rows that training did not
 see, and scored in Arrow batches.  It reads whole texts; features are the shares of hashed word unigrams and
-bigrams and of hashed byte 3- to 5-grams, so a text's length does not matter to them.
+bigrams and of hashed character 3-, 4- and 5-grams (of code points), so a text's length does not matter to them.
+Bigrams of one word twice share a slot, as repetition tells more than the word.
 """
 
 from __future__ import annotations
@@ -68,69 +69,100 @@ def repeat_words(words: list[bytes]) -> int:
     return int(hit.sum())
 
 
-def gram_slots(texts: list[bytes], bits: int):
-    """Hashed n-grams of many texts at once: yields (slots, text of each slot) for each kind of gram."""
-    size = np.fromiter(map(len, texts), np.int64, len(texts))
-    raw = np.frombuffer(b"".join(texts), np.uint8)
-    if not len(raw):
+def code_points(text: bytes) -> np.ndarray:
+    """The text's characters as numbers."""
+    if text.isascii():
+        return np.frombuffer(text, np.uint8).astype(np.uint32)
+    return np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def gram_slots(parts: list[np.ndarray], bits: int, own: list[int] | None = None):
+    """Hashed n-grams of many texts at once: yields (slots, text of each slot) for each kind of gram.
+
+    With `own`, only grams that begin in the first own[k] characters of part k count; the rest is there to end them.
+    """
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    if not size.sum():
         return
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+    raw = np.concatenate(parts)
+    owner = np.repeat(np.arange(len(parts), dtype=np.int32), size)
+    start_of = np.cumsum(size) - size
+    counts = np.ones(len(raw), bool) if own is None else np.arange(len(raw)) - start_of[owner] < np.array(own)[owner]
     wide = raw.astype(np.uint64)
     h = wide * _PRIMES[0]
     for n in (2, 3, 4, 5):
         if len(raw) < n:
             break
         h = (h[: len(raw) - n + 1] ^ (wide[n - 1 :] + _U(n))) * _PRIMES[n - 1]
-        if n in (3, 5):
-            inside = owner[: len(h)] == owner[n - 1 :]
+        if n > 2:
+            inside = (owner[: len(h)] == owner[n - 1 :]) & counts[: len(h)]
             yield (h >> _U(64 - bits)).astype(np.int32)[inside], owner[: len(h)][inside]
-    # words: a hash of the bytes between blanks, by differences of a running sum
-    blank = (raw <= 32) & ((raw == 32) | ((raw >= 9) & (raw <= 13)))
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
-    start, end = edge[::2], edge[1::2]
+    # words: a hash of what stands between blanks or the ends of parts, by differences of a running sum
+    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    first = np.zeros(len(raw), bool)
+    first[start_of[size > 0]] = True
+    begins = np.flatnonzero(~blank & (first | np.concatenate([[True], blank[:-1]])))
+    ends = np.flatnonzero(~blank & np.concatenate([blank[1:] | first[1:], [True]])) + 1
     mixed = (wide + _U(7)) * _PRIMES[1]
     mixed ^= mixed >> _U(29)
     mixed *= _PRIMES[2]
-    first = np.zeros(len(raw), np.int64)
-    first[start] = start
-    place = (np.arange(len(raw)) - np.maximum.accumulate(first)).astype(np.uint64)
+    at = np.zeros(len(raw), np.int64)
+    at[begins] = begins
+    place = (np.arange(len(raw)) - np.maximum.accumulate(at)).astype(np.uint64)
     total = np.concatenate([[_U(0)], np.cumsum(mixed * (place * _U(2) + _U(1)), dtype=np.uint64)])
-    if len(start):
-        w = (total[end] - total[start]) * _PRIMES[3]
-        whose = owner[start]
-        same = whose[1:] == whose[:-1]
-        yield (w >> _U(64 - bits)).astype(np.int32), whose
-        pair = (w[:-1] ^ (w[1:] >> _U(7))) * _PRIMES[4]
-        yield (pair >> _U(64 - bits)).astype(np.int32)[same], whose[1:][same]
+    w = (total[ends] - total[begins]) * _PRIMES[3]
+    whose, mine = owner[begins], counts[begins]
+    yield (w >> _U(64 - bits)).astype(np.int32)[mine], whose[mine]
+    # a word that comes twice in a row is one gram, whatever the word
+    pair = np.where(w[:-1] == w[1:], _U(0), (w[:-1] ^ (w[1:] >> _U(7))) * _PRIMES[4])
+    same = (whose[1:] == whose[:-1]) & mine[:-1]
+    yield (pair >> _U(64 - bits)).astype(np.int32)[same], whose[1:][same]
 
 
-_KINDS = 4
+_KINDS = 5
 #: At most so many labelled rows train the model, none of them with more bytes than this.
 TRAIN_ROWS, TRAIN_BYTES = 3000, 1 << 18
+_BLANK = re.compile(rb"[\x20\x09-\x0D]+")
 
 
 def pieces(texts: list[bytes], most: int = 1 << 20):
-    """Texts in groups of about `most` bytes; longer ones are cut at blanks.  Yields (texts, their index)."""
-    group, index, n = [], [], 0
+    """Texts in groups of about `most` bytes, so that memory is bounded: (parts, index of each part's text, own).
+
+    A longer text is cut after blanks.  A piece goes on beyond its cut to the end of the next word, or for `most` bytes
+    if that word does not end, so grams that begin before the cut are whole; `own` says how many characters are before
+    the cut.  Words of more than `most` bytes are cut as well, after that many bytes.
+    """
+    group, index, own, n = [], [], [], 0
     for k, t in enumerate(texts):
-        while t:
-            cut = len(t) if len(t) <= most else (t.rfind(b" ", 1, most) + 1 or most)
-            group.append(t[:cut])
+        at = 0
+        while at < len(t):
+            end = len(t) if len(t) - at <= most else t.rfind(b" ", at + 1, at + most) + 1 or at + most
+            while end < len(t) and t[end] & 0xC0 == 0x80:  # not within a character
+                end += 1
+            more = end
+            if end < len(t):
+                word = _BLANK.search(t, min(len(t), end + 5 * 4), min(len(t), end + most))
+                more = word.start() if word else min(len(t), end + most)
+                while more < len(t) and t[more] & 0xC0 == 0x80:
+                    more += 1
+            points = code_points(t[at:more])
+            group.append(points)
+            own.append(len(points) if more == end else len(code_points(t[at:end])))
             index.append(k)
-            n, t = n + cut, t[cut:]
+            n, at = n + more - at, end
             if n >= most:
-                yield group, index
-                group, index, n = [], [], 0
+                yield group, index, own
+                group, index, own, n = [], [], [], 0
     if group:
-        yield group, index
+        yield group, index, own
 
 
-def sums_of(texts: list[bytes], weights: np.ndarray, bits: int) -> np.ndarray:
+def sums_of(texts: list[bytes], weights: np.ndarray, bits: int, most: int = 1 << 20) -> np.ndarray:
     """For each text, the mean weight of its grams of each kind, summed over kinds."""
     total, count = np.zeros((_KINDS, len(texts))), np.zeros((_KINDS, len(texts)))
-    for group, index in pieces(texts):
+    for group, index, own in pieces(texts, most):
         where = np.array(index)
-        for kind, (slots, owner) in enumerate(gram_slots(group, bits)):
+        for kind, (slots, owner) in enumerate(gram_slots(group, bits, own)):
             np.add.at(total[kind], where, np.bincount(owner, weights[kind][slots], len(group)))
             np.add.at(count[kind], where, np.bincount(owner, minlength=len(group)))
     return (total / np.maximum(count, 1)).sum(0)
@@ -149,7 +181,7 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -40, 40)))
 
 
-def train(texts: list[bytes], labels: list[int], *, bits: int = 16, rounds: int = 60, l2: float = 2e-3) -> QualityModel:
+def train(texts: list[bytes], labels: list[int], *, bits: int = 16, rounds: int = 30, l2: float = 1e-3, rare: float = 1e-3) -> QualityModel:
     """Fit on four fifths of the rows, calibrate on the rest.  Without rows of both labels every score is the base rate."""
     y = np.array(labels, float)
     rate = (y.sum() + 1) / (len(y) + 2)
@@ -158,7 +190,7 @@ def train(texts: list[bytes], labels: list[int], *, bits: int = 16, rounds: int
     # sparse rows: (row, kind * slots + slot, share)
     rows, cols, vals = [], [], []
     for at in range(0, len(texts), 64):
-        part = texts[at : at + 64]
+        part = [code_points(t) for t in texts[at : at + 64]]
         for kind, (slots, owner) in enumerate(gram_slots(part, bits)):
             key, n = np.unique(owner.astype(np.int64) << bits | slots, return_counts=True)
             own = key >> bits
@@ -166,23 +198,32 @@ def train(texts: list[bytes], labels: list[int], *, bits: int = 16, rounds: int
             cols.append(((key & ((1 << bits) - 1)) + (kind << bits)).astype(np.int32))
             vals.append((n / np.maximum(np.bincount(own, n, len(part)), 1)[own]).astype(np.float32))
     rows, cols, vals = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
-    # shares are scaled by each slot's spread, so that rare grams count
-    scale = 1 / np.sqrt(np.bincount(cols, vals**2, _KINDS << bits) / len(y) + 1e-7)
+    # shares are scaled by each slot's spread, so that grams other than the commonest count; `rare` keeps the rarest down
+    scale = 1 / np.sqrt(np.bincount(cols, vals**2, _KINDS << bits) / len(y) + rare)
     vals *= scale[cols].astype(np.float32)
     held = np.arange(len(y)) % 5 == 4
-    fit = ~held[rows]
-    r, c, v = rows[fit], cols[fit], vals[fit]
+    # rows that calibrate have no cost, so they need no second copy of the features
     cost = np.where(y > 0, 0.5 / max(y[~held].mean(), 1e-3), 0.5 / max(1 - y[~held].mean(), 1e-3)) * ~held
+    cost /= cost.sum()
+
+    def forward(w):
+        return np.bincount(rows, vals * w.astype(np.float32)[cols], len(y))
+
+    def back(g):
+        return np.bincount(cols, vals * g.astype(np.float32)[rows], _KINDS << bits)
+
+    x = back(cost)
+    for _ in range(4):  # the steepest curvature, by power iteration
+        x /= np.linalg.norm(x) + 1e-12
+        x = back(cost * forward(x))
+    step = 1 / (0.25 * (1.2 * np.linalg.norm(x) + 1) + l2)
     w, b = np.zeros(_KINDS << bits), 0.0
-    m, s, mb, sb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for t in range(1, rounds + 1):  # Adam on the whole set
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(r, v * w[c], len(y)) + b, -40, 40)))
-        g = cost * (p - y) / len(y)
-        gw, gb = np.bincount(c, v * g[r], len(w)) + l2 * w / len(y), g.sum()
-        m, s, mb, sb = 0.9 * m + 0.1 * gw, 0.99 * s + 0.01 * gw * gw, 0.9 * mb + 0.1 * gb, 0.99 * sb + 0.01 * gb * gb
-        w -= 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-7)
-        b -= 0.02 * (mb / (1 - 0.9**t)) / (np.sqrt(sb / (1 - 0.99**t)) + 1e-7)
-    margin = np.bincount(rows, vals * w[cols], len(y)) + b
+    v, vb = w, b
+    for t in range(rounds):  # accelerated gradient descent on the whole set
+        g = cost * (1 / (1 + np.exp(-np.clip(forward(v) + vb, -40, 40))) - y)
+        w, old, b, old_b = v - step * (back(g) + l2 * v), w, vb - step * g.sum(), b
+        v, vb = w + t / (t + 3) * (w - old), b + t / (t + 3) * (b - old_b)
+    margin = forward(w) + b
     use = held if len(set(y[held])) == 2 else np.ones(len(y), bool)
     slope, offset = platt(margin[use], y[use])
     return QualityModel((w * scale).reshape(_KINDS, -1).astype(np.float32), bits, float(b), slope, offset)

@@ -187,6 +187,17 @@ def test_quality_held_out_accuracy():
     assert (score[(y == 0) & long] < 0.5).mean() > 0.8
 
 
+def test_quality_of_long_texts_in_pieces():
+    texts = [("Eine Zeile mit Wörtern, ça va; %d é.\n" * 40 % tuple(range(40))).encode(), b"", b"x" * 700, "ü".encode() * 400, b"words and " * 900, b" a b  c \t" * 90]
+    weights = np.random.default_rng(3).normal(size=(quality._KINDS, 1 << 12))
+    whole = quality.sums_of(texts, weights, 12)
+    assert quality.sums_of(texts, weights, 12, most=1500).tolist() == pytest.approx(whole.tolist())
+    assert sum(len(own) for _, _, own in quality.pieces(texts, 1500)) > len(texts)
+    one = quality.sums_of([texts[0]], weights, 12)  # texts do not touch each other's grams
+    assert one[0] == pytest.approx(whole[0])
+    assert quality.code_points("aé\U0001f600".encode()).tolist() == [97, 233, 0x1F600]
+
+
 def test_quality_odd_rows(spark, odd):
     model = quality.train([b"good words here " * 20, b"### $$$ bad"] * 20, [1, 0] * 20)
     got = quality.quality(odd, model).collect()
