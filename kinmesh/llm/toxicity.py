@@ -2,14 +2,18 @@
 
 The kernel compares two segments (a word, or a window of a long one, with marks at its ends) by the character
 triples that they share as subsequences, gaps allowed: a triple that spans b + 1 characters weighs LAMBDA ** b, so
-"id.iot" and "idioot" stay close to "idiot".  It is divided by a norm that depends on the lengths.  A sentence's
-score is that of its worst segment; a document's combines those of its three worst words, as abuse seldom comes alone.
-
-Training rows are sentences with their document's label, so most segments of a toxic sentence are harmless: the
-machine is trained in rounds, in which each toxic document's worst segment stands for it and the worst segments of
-clean documents are added as negatives.  Landmarks are segments of both kinds; the machine is linear in the
-Nystroem features K(x, landmarks) K_mm^(-1/2).  As the kernel is an inner product of triple weights, the trained
-machine folds into one table of weights by hashed triple, and scoring a segment costs its triples only.
+"id.iot" and "idioot" stay close to "idiot".  It is divided by a norm that depends on the lengths.  A sentence is as
+toxic as its worst segment and a document as its worst sentence, so one clear insult is enough, however long the text,
+and more of them do not count against it.  The unit of the machine is the word: abuse in words that are each harmless
+is not learned.
+
+Training rows are the sentences of labelled documents, so most segments of a toxic document are harmless: the machine
+is trained in rounds, in which the worst segments of toxic documents stand for them and the worst segments of clean
+documents are added as negatives.  A segment stands for toxic documents at first only if several of them have it and
+clean ones hardly do, and later also if the machine finds it close to such ones.  Landmarks are segments of both kinds;
+the machine is linear in the Nystroem features K(x, landmarks) K_mm^(-1/2).  As the kernel is an inner product of
+triple weights, the trained machine folds into one table of weights by hashed triple, and scoring a segment costs its
+triples only.
 """
 
 from __future__ import annotations
@@ -17,31 +21,40 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
-from heapq import nlargest
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import binary, table
+from .quality import platt
 
-LAMBDA, REACH, BITS, WINDOW, WORST = 0.75, 5, 20, 16, 3
+LAMBDA, REACH, BITS, WINDOW = 0.75, 5, 20, 16
 _GAPS = [(a, b) for b in range(2, REACH + 1) for a in range(1, b)]
 #: Single characters with blanks between them, read as one word.
 _SPACED = re.compile(rb"(?:(?<=\s)|^)[^\s](?: [^\s]){3,}(?=\s|$)")
+#: What may be put between the characters of a word to disguise it.
+_MARKS = re.compile(r"[.*_~`'+|#$%&-]+")
+_DOUBLED = re.compile(r"(.)\1+")
 _SENTENCE = re.compile(rb"[.!?\n]+")
 _FLOOR = -3.0
+#: A segment with this margin is like one that is known.
+CLOSE = 0.3
 
 #: At most so many labelled rows of each label train the machine, none of them with more bytes than the last.
 TRAIN_ROWS, TRAIN_BYTES, LANDMARKS = 2500, 1 << 17, 240
 
 
 def segments(word: str) -> list[str]:
-    """The word in lower case with end marks, or windows of a long one."""
-    w = "^" + word.lower().strip("!?.,;:|#*$%&<>()[]{}\"'-_~`=+/\\ ") + "$"
-    if len(w) <= WINDOW:
-        return [w]
-    return [w[i : i + WINDOW] for i in range(0, len(w) - WINDOW // 2, WINDOW // 2)]
+    """The word in lower case with end marks, or windows of a long one; also without marks within it, and without doubled
+    characters, if it has any."""
+    bare = word.lower().strip("!?.,;:|#*$%&<>()[]{}\"'-_~`=+/\\ ")
+    out = []
+    plain = _MARKS.sub("", bare)
+    for x in dict.fromkeys((bare, plain, _DOUBLED.sub(r"\1", plain))):
+        w = "^" + x + "$"
+        out += [w] if len(w) <= WINDOW else [w[i : i + WINDOW] for i in range(0, len(w) - WINDOW // 2, WINDOW // 2)]
+    return out
 
 
 def triples(parts: list[str]):
@@ -85,7 +98,7 @@ def features(parts: list[str]) -> list[dict[int, float]]:
 class ToxicityModel:
     weights: np.ndarray  # by hashed triple
     bias: float
-    slopes: np.ndarray  # of the margins of the worst words, worst first
+    slope: float  # Platt's, of the worst margin
     offset: float
 
     def margins(self, words: list[str]) -> np.ndarray:
@@ -97,8 +110,8 @@ class ToxicityModel:
         return out
 
     def probability(self, worst: np.ndarray) -> np.ndarray:
-        """From the margins of each text's worst words, a row for each text."""
-        return 1 / (1 + np.exp(-np.clip(worst @ self.slopes + self.offset, -40, 40)))
+        """From the margin of each text's worst word."""
+        return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.offset, -40, 40)))
 
 
 class Scorer:
@@ -108,17 +121,13 @@ class Scorer:
         self.model, self.most, self.known = model, most, {}
 
     def worst(self, texts: list[bytes]) -> np.ndarray:
-        """The margins of each text's WORST worst words, those of repeated words once."""
+        """The margin of each text's worst word, the floor without words."""
         split = [set(words_of(t)) for t in texts]
         if len(self.known) > self.most:
             self.known.clear()
         new = list(set().union(*split).difference(self.known))
         self.known.update(zip(new, self.model.margins([w.decode() for w in new]).tolist()))
-        out = np.full((len(texts), WORST), _FLOOR)
-        for row, words in zip(out, split):
-            top = nlargest(WORST, map(self.known.__getitem__, words))
-            row[: len(top)] = top
-        return out
+        return np.array([max(map(self.known.__getitem__, words), default=_FLOOR) for words in split])
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -179,7 +188,7 @@ def train(texts: list[bytes], labels: list[int], rounds: int = 3) -> ToxicityMod
     y = np.array(labels, int)
     rate = (y.sum() + 1) / (len(y) + 2)
     if len(set(labels)) < 2:
-        return ToxicityModel(np.zeros(1 << BITS, np.float32), 0.0, np.zeros(WORST), float(np.log(rate / (1 - rate))))
+        return ToxicityModel(np.zeros(1 << BITS, np.float32), 0.0, 0.0, float(np.log(rate / (1 - rate))))
     bags, parted = [], {}
     shared: dict[str, str] = {}  # texts have most segments in common
     for t in texts:
@@ -196,25 +205,26 @@ def train(texts: list[bytes], labels: list[int], rounds: int = 3) -> ToxicityMod
         return np.log((in_toxic[s] + 0.1) / (len(toxic) + 1)) - np.log((in_clean[s] + 1) / (len(clean) + 1)) + 0.5 * np.log(min(in_toxic[s], 50) + 0.1)
 
     score = {s: odds(s) for s in in_toxic}
-    least = 0.0
+    # several toxic documents have it, clean ones hardly: what chance alone hardly does
+    least = max(round(0.02 * len(toxic)), min(4, 1 + len(toxic) // 8))
+    known = {s for s, n in in_toxic.items() if n >= least and in_clean[s] * len(toxic) <= 0.1 * n * len(clean)}
     everyday = [s for s, _ in in_clean.most_common(4000)]
     rare = sorted(in_clean, key=lambda s: hash_of(s))[:6000]
     hard: list[str] = []
     weights, bias = np.zeros(1 << BITS, np.float32), 0.0
-    first: Counter = Counter()
     for k in range(rounds):
-        worst = first + Counter(max(bags[i], key=lambda s: (score[s], s)) for i in toxic if bags[i])
-        if not k:  # by odds, a document may have more than one
-            first = worst = Counter(s for i in toxic for s in sorted(bags[i], key=lambda s: (-score[s], s))[:2])
-        # of the words that stand for toxic documents, those that clean documents hardly have
-        bad = [s for s, _ in worst.most_common(1500) if in_clean[s] * len(toxic) <= 0.3 * in_toxic[s] * len(clean) and (k == 0 or score[s] > least - 1)]
+        # with those of a document's two worst segments that the machine finds close to known ones
+        near = Counter(s for i in toxic if k for s in sorted(bags[i], key=lambda s: (-score[s], s))[:2] if score[s] > CLOSE)
+        near = {s: n for s, n in near.items() if s not in known and in_clean[s] * len(toxic) <= 0.1 * in_toxic[s] * len(clean)}
+        worst = Counter({s: in_toxic[s] for s in known} | near)
+        bad = [s for s, _ in worst.most_common(1500)]
         if not bad:
             break
         n = np.array([worst[s] for s in bad], float)
         gapped = [v for s in bad[:80] if len(s) > 5 for v in disguised(s)]
         good = list(dict.fromkeys([*everyday, *rare, *hard]))
         good = [s for s in good if s not in worst or in_clean[s] > 0]
-        cost = np.concatenate([np.full(len(good), 1 / len(good)), np.sqrt(n) / np.sqrt(n).sum(), np.full(len(gapped), 1.0 / max(len(gapped), 1))])
+        cost = np.concatenate([np.full(len(good), 1 / len(good)), n / n.sum(), np.full(len(gapped), 1.0 / max(len(gapped), 1))])
         landmarks = list(dict.fromkeys([*bad[: LANDMARKS // 3], *gapped[: LANDMARKS // 3], *hard[: LANDMARKS // 4], *everyday]))[:LANDMARKS]
         weights, bias = fit_table(landmarks, good, bad + gapped, cost)
         names = list(in_toxic)
@@ -222,34 +232,12 @@ def train(texts: list[bytes], labels: list[int], rounds: int = 3) -> ToxicityMod
         names = list(in_clean)
         margin = apply_table(names, weights) + bias
         hard = list(dict.fromkeys([*(names[i] for i in np.argsort(-margin)[:1500]), *hard]))
-    model = ToxicityModel(weights, bias, np.zeros(WORST), 0.0)
+    model = ToxicityModel(weights, bias, 0.0, 0.0)
     held = np.flatnonzero(fold) if len(set(y[fold])) == 2 else np.arange(len(y))
-    model.slopes, model.offset = calibrate(Scorer(model).worst([texts[i] for i in held]), y[held])
+    model.slope, model.offset = platt(Scorer(model).worst([texts[i] for i in held]), y[held])
     return model
 
 
-def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Slopes (0 or more) and offset of the logistic curve that fits best, with smoothed targets."""
-    up, down = y.sum(), len(y) - y.sum()
-    goal = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
-    use = list(range(x.shape[1]))
-    while True:
-        z = np.concatenate([x[:, use], np.ones((len(x), 1))], 1)
-        a = np.zeros(z.shape[1])
-        a[-1] = np.log((up + 1) / (down + 1))
-        ridge = np.append(np.full(len(use), 0.02), 1e-6)
-        for _ in range(60):
-            p = 1 / (1 + np.exp(-np.clip(z @ a, -40, 40)))
-            h = z.T @ (z * (p * (1 - p) + 1e-9)[:, None]) + np.diag(ridge)
-            a = a - np.clip(np.linalg.solve(h, z.T @ (p - goal) + ridge * a), -2, 2)
-        if not use or a[:-1].min() >= 0:
-            break
-        use.pop(int(a[:-1].argmin()))
-    slopes = np.zeros(x.shape[1])
-    slopes[use] = a[:-1]
-    return slopes, float(a[-1])
-
-
 def disguised(s: str) -> list[str]:
     """A segment with a character put in or doubled, at three places."""
     places = sorted({2, len(s) // 2, len(s) - 2})
@@ -286,7 +274,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id, score and predicted (1 if score >= 0.5) of every row; null and empty texts have the lowest margin."""
+    """doc_id, score and predicted (1 if score >= 0.5) of every row; null and empty texts have the lowest margin.
+
+    Rows with equal texts score alike, repeated rows come out once for each row, and words of equal margin make no
+    difference.  A very long text is split into its words as a whole; its distinct words are held at once.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches):
@@ -296,7 +288,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for batch in batches:
             texts = binary(batch, "text")
             worst = [scorer.worst(texts[at : at + 512]) for at in range(0, len(texts), 512)]
-            p = held.value.probability(np.concatenate([np.zeros((0, WORST)), *worst]))
+            p = held.value.probability(np.concatenate([np.zeros(0), *worst]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"]
             )
@@ -316,13 +308,16 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) ->
         for batch in batches:
             texts = binary(batch, "text")
             worst = [scorer.worst(texts[at : at + 512]) for at in range(0, len(texts), 512)]
-            yield batch.filter(pa.array(held.value.probability(np.concatenate([np.zeros((0, WORST)), *worst])) < threshold))
+            yield batch.filter(pa.array(held.value.probability(np.concatenate([np.zeros(0), *worst])) < threshold))
 
     return docs.mapInArrow(scan, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op4: toxicity of every document; rows whose crc32 of doc_id is divisible by 5 are held out."""
+    """op4: toxicity of every document; rows whose crc32 of doc_id is divisible by 5 are held out.
+
+    So are rows without a doc_id, which are never learned from.
+    """
     docs = table(spark, sf_dir, "documents")
     got = score(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return got.withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    return got.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True)))

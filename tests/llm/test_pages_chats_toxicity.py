@@ -178,15 +178,49 @@ def test_preferences_in_parts(spark):
 
 
 def test_toxicity_on_held_out_rows():
-    rows = duckdb.sql("select doc_id, text, toxic, lang from '/root/testdata/check_s/documents.parquet' join '/root/testdata/check_s/labels.parquet' using (doc_id) order by hash(doc_id) limit 6000").fetchall()
+    at = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"select doc_id, text, toxic from '{at}/documents.parquet' join '{at}/labels.parquet' using (doc_id) order by doc_id").fetchall()
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
     fit = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
     model = toxicity.train([r[1].encode() for r in fit], [r[2] for r in fit])
     p = model.probability(toxicity.Scorer(model).worst([r[1].encode() for r in held]))
     y = np.array([r[2] for r in held])
-    assert (p[y == 1] >= 0.5).mean() > 0.9 and (p[y == 0] >= 0.5).mean() < 0.02
-    plain, gapped, other = model.probability(toxicity.Scorer(model).worst([b"the idiot and a moron", b"the idioot and a morron", b"theor of and"]))
-    assert plain > 0.5 > other and gapped > 0.5
+    # a tenth of the toxic labels are on texts without an insult, and one clean label in thirty on a text with one
+    assert (p[y == 1] >= 0.5).mean() > 0.88 and (p[y == 0] >= 0.5).mean() < 0.04
+
+    def score(*texts):
+        return model.probability(toxicity.Scorer(model).worst([t.encode() for t in texts])).tolist()
+
+    insults = "trash pathetic worthless idiot disgusting loser scum moron clown stupid".split()
+    single = [f"the quiet street and {w} here" for w in insults] + ["trash", "you utter moron", "stupid stupid stupid", "the idiot and a moron"]
+    assert min(score(*single)) > 0.5, dict(zip(single, score(*single)))
+    gapped = ["an idioot he is", "you morron", "such a lo.ser", "w o r t h l e s s", "an i.d.i.o.t", "an id-iot", "sstupid"]
+    assert min(score(*gapped)) > 0.5, dict(zip(gapped, score(*gapped)))
+    long = " ".join(["the street is quiet and the table stood there with others."] * 2000)
+    assert score(long)[0] < 0.5 < score(long + " idiot")[0]
+    clean = ["the quiet street and table here", "most of the time we walk", "an idiom he is", "worth more", "rash decision", "", "l o s t"]
+    assert max(score(*clean)) < 0.5, dict(zip(clean, score(*clean)))
+
+
+def test_toxicity_query(spark):
+    docs = {r[0]: r[1] for r in duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()}
+    got = registry.QUERIES["op4_toxicity"](spark, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
+    labels = dict(duckdb.sql(f"select doc_id, toxic from '{SF}/labels.parquet'").fetchall())
+    right = [r.predicted == labels[r.doc_id] for r in got if r.doc_id in labels]
+    assert np.mean(right) > 0.85  # 370 rows to learn from
+
+
+def test_toxicity_of_rows_without_an_id(spark, tmp_path):
+    rows = [(k, "you utter moron ok" if k % 2 else "nice words here") for k in range(60)] + [(None, "moron"), (7, "you utter moron ok")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, k % 2) for k in range(60)] + [(None, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = registry.QUERIES["op4_toxicity"](spark, str(tmp_path)).collect()
+    assert len(got) == 62 and [(r.held_out, r.predicted) for r in got if r.doc_id is None] == [(True, 1)]
+    assert len({r.score for r in got if r.doc_id == 7}) == 1
 
 
 def test_toxicity_kernel_tolerates_gaps():
@@ -202,7 +236,11 @@ def test_toxicity_odd_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, score double")
     got = toxicity.score(df, model).collect()
     assert len(got) == 5 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
-    assert toxicity.drop_toxic(df, model).columns == df.columns
+    kept = toxicity.drop_toxic(df, model)
+    assert kept.columns == df.columns
+    key = lambda r: repr(tuple(r))
+    short = lambda d: sorted((r for r in d.collect() if len(r.text or "") < 9), key=key)
+    assert short(kept) == [r for r in short(df) if r.text != "moron"]
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score(df, toxicity.fit(df, none)).count() == 5 and toxicity.score(df.limit(0), model).count() == 0
 
