@@ -1,24 +1,28 @@
 """Best-fit packing by hierarchical residual rounds.
 
 Each task tokenizes its documents and packs their pieces best-fit decreasing.  Bins that are nearly full are done;
-the underfull ones become items of the next round, in which a task merges those of `fan_in` tasks, until one task
-is left.  A task hands on `most` bins at most, the emptiest, so the last task's work is bounded whatever the input;
-the others are done as they are.  Rounds handle only (bin, fill) rows, and each is written to the shared folder,
-so that bins keep their numbers if an executor is lost.
+the underfull ones become items of the next round, in which those of `fan_in` tasks are merged, until one group is
+left.  No bin is left out: a round needs only the number of underfull bins by task and fill, of which there are at most
+`capacity` for each task however many bins there are, and packs whole ranges of equal fills at once.  Its plan says
+which ranges go into which; bins find their place by (task, fill, rank), in a join that spreads like the bins do.
+Rounds are written to the shared folder, so that bins keep their numbers if an executor is lost.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import binary, stash, table
 
-_PIECES = "task int, doc_id long, piece int, start long, length long, ids_crc32 long, bin long, place long, fill long, last boolean"
+_PIECES = "task int, doc_id long, piece int, start long, length long, ids_crc32 long, bin long, place long, fill int, rank long"
+#: Ranges of a round: n items of one task and fill, from `rank` on, `per` of them in a bin one after the other from
+#: `at` on; their bins are `bin` and the next, which are ranges of the group's bins of fill to_fill, from to_rank on.
+_PLAN = "group int, task int, fill int, rank long, n long, per int, at int, bin long, to_fill int, to_rank long"
 
 
 def word_tokenizer() -> str:
@@ -131,17 +135,72 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int], lis
     return bins, places, fills
 
 
-def carried(fills: list[int], capacity: int, nearly: int, most: int) -> set[int]:
-    """The bins that go to the next round."""
-    under = [b for b, f in enumerate(fills) if f < nearly]
-    if len(under) > most:
-        under = sorted(under, key=fills.__getitem__)[:most]
-    return set(under)
+def pack_ranges(counts: list[tuple[int, int, int]], capacity: int) -> list[tuple[int, ...]]:
+    """Best fit decreasing of many equal items at once.
+
+    From (task, fill, count), rows (task, fill, rank, n, per, at, bin, to_fill, to_rank) as in _PLAN; tasks of equal
+    fill come in order.  The bins are those that best_fit() makes of the single items, up to their order.
+    """
+    open_bins: dict[int, list[tuple[int, int]]] = {}  # by room, ranges (first bin, bins)
+    rooms: list[int] = []
+    rows: list[list[int]] = []
+    made = 0
+
+    def put(room: int, first: int, n: int) -> None:
+        if room not in open_bins:
+            open_bins[room] = []
+            insort(rooms, room)
+        open_bins[room].append((first, n))
+
+    for task, fill, left in sorted(counts, key=lambda x: (-x[1], x[0])):
+        rank = 0
+        while left:
+            k = bisect_left(rooms, fill)
+            if k < len(rooms):
+                room = rooms[k]
+                first, n = open_bins[room].pop()
+                if not open_bins[room]:
+                    del open_bins[room]
+                    rooms.pop(k)
+            else:
+                room, first, n = capacity, made, -(-left // (capacity // fill))
+                made += n
+            # best fit fills one bin with equal items before it takes the next
+            per = room // fill
+            whole = min(n, left // per)
+            if whole:
+                rows.append([task, fill, rank, whole * per, per, capacity - room, first])
+                put(room - per * fill, first, whole)
+                rank, left = rank + whole * per, left - whole * per
+            if whole < n and left:
+                rows.append([task, fill, rank, left, left, capacity - room, first + whole])
+                put(room - left * fill, first + whole, 1)
+                rank, left, whole = rank + left, 0, whole + 1
+            if whole < n:
+                put(room, first + whole, n - whole)
+    # a bin's final fill and its rank among the bins of that fill
+    ends = sorted((first, n, capacity - room) for room, ranges in open_bins.items() for first, n in ranges)
+    ranks: dict[int, int] = {}
+    starts, named = [], []
+    for first, n, fill in ends:
+        starts.append(first)
+        named.append((first + n, fill, ranks.get(fill, 0)))
+        ranks[fill] = ranks.get(fill, 0) + n
+    out = []
+    for task, fill, rank, n, per, at, bin_ in rows:
+        while n:
+            k = bisect_right(starts, bin_) - 1
+            stop, to_fill, to_rank = named[k]
+            bins = min(-(-n // per), stop - bin_)
+            part = min(n, bins * per)
+            out.append((task, fill, rank, part, per, at, bin_, to_fill, to_rank + bin_ - starts[k]))
+            rank, n, bin_ = rank + part, n - part, bin_ + bins
+    return out
 
 
 def pack(
     docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end: int = 1, nearly: float = 0.995, fan_in: int = 8,
-    most: int = 20_000, chunk: int = 200_000,
+    chunk: int = 200_000,
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every row's token ids.
 
@@ -157,20 +216,24 @@ def pack(
         cache, task, made = WordCache(tokenizer), TaskContext.get().partitionId(), 0
         tail = end.to_bytes(4, "little")
         rows: list[list] = []
+        ranks = [0] * (capacity + 1)  # underfull bins so far, by fill
 
         def flush():
             nonlocal made
             rows.sort(key=lambda r: (-r[3], -1 if r[0] is None else r[0], r[1], r[4]))
             bins, places, fills = best_fit([r[3] for r in rows], capacity)
-            go = carried(fills, capacity, full, most)
-            base = (task << 33) + made
+            base = (task << 34) + made
             made += len(fills)
+            rank: list[int | None] = []
+            for f in fills:
+                rank.append(ranks[f] if f < full else None)
+                ranks[f] += 1
             cols = list(zip(*rows))
             out = [
                 pa.array([task] * len(rows), pa.int32()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()),
                 *(pa.array(c, pa.int64()) for c in cols[2:5]), pa.array([base + b for b in bins], pa.int64()),
-                pa.array(places, pa.int64()), pa.array([fills[b] for b in bins], pa.int64()),
-                pa.array([b not in go for b in bins], pa.bool_()),
+                pa.array(places, pa.int64()), pa.array([fills[b] for b in bins], pa.int32()),
+                pa.array([rank[b] for b in bins], pa.int64()),
             ]
             rows.clear()
             return pa.RecordBatch.from_arrays(out, [x.split()[0] for x in _PIECES.split(", ")])
@@ -191,49 +254,55 @@ def pack(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = stash(texts.mapInArrow(tokenize, _PIECES), "pack-pieces")
     tasks = (pieces.agg(F.max("task")).first()[0] or 0) + 1
-    items = pieces.where("not last").select("task", "bin", "fill").distinct()
-    moves = []  # of each round: bin -> to, at, last
+    under = pieces.where("rank is not null")
+    counts = under.groupBy("task", "fill").agg((F.max("rank") + 1).alias("n"))
+    # each underfull bin, where it is now: a bin of (task, fill, rank), at its place in it
+    now = under.select("bin", "task", "fill", "rank").distinct().withColumn("at", F.lit(0).cast("long"))
+    done, level = None, 0
     while True:
-        items = items.select((F.col("task") / fan_in).cast("int").alias("task"), "bin", "fill")
-        tasks = -(-tasks // fan_in)
-        moved = stash(_round(items, len(moves) + 1, capacity, full, most, tasks > 1), "pack-round")
-        moves.append(moved)
-        if tasks == 1:
+        tasks, level = -(-tasks // fan_in), level + 1
+        plan = stash(_round(counts, capacity, fan_in), "pack-plan")
+        item = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")
+        of = F.floor(F.col("i") / F.col("per"))
+        moves = plan.select("*", item).select(
+            "task", "fill", (F.col("rank") + F.col("i")).alias("rank"), "group", "to_fill", (F.col("to_rank") + of).alias("to_rank"),
+            (F.col("at") + F.pmod("i", F.col("per").cast("long")) * F.col("fill")).alias("up"),
+            (F.lit(level).cast("long") * (1 << 58) + F.col("group").cast("long") * (1 << 34) + F.col("bin") + of).alias("sequence"),
+        )
+        now = stash(
+            now.join(moves, ["task", "fill", "rank"]).select(
+                "bin", F.col("group").alias("task"), F.col("to_fill").alias("fill"), F.col("to_rank").alias("rank"),
+                (F.col("at") + F.col("up")).cast("long").alias("at"), "sequence",
+            ),
+            "pack-round",
+        )
+        last = tasks == 1
+        ended = (now if last else now.where(F.col("fill") >= full)).select("bin", "sequence", "at")
+        done = ended if done is None else done.union(ended)
+        if last:
             break
-        items = moved.where("not last").select("task", F.col("to").alias("bin"), "fill").distinct()
-    final = None  # bin -> sequence, at: from the last round to the first
-    for moved in reversed(moves):
-        if final is None:
-            final = moved.select("bin", F.col("to").alias("sequence"), "at")
-            continue
-        up = final.select(F.col("bin").alias("to"), "sequence", F.col("at").alias("up"))
-        final = moved.join(up, "to", "left").select(
-            "bin", F.coalesce("sequence", "to").alias("sequence"), (F.col("at") + F.coalesce("up", F.lit(0))).alias("at")
-        )
-    return pieces.join(final, "bin", "left").select(
+        bins = plan.where(F.col("to_fill") < full).groupBy(F.col("group").alias("task"), F.col("to_fill").alias("fill"))
+        counts = bins.agg(F.max(F.col("to_rank") + F.ceil(F.col("n") / F.col("per"))).alias("n"))
+        now = now.where(F.col("fill") < full).drop("sequence")
+    return pieces.join(done, "bin", "left").select(
         "doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("sequence", "bin").alias("sequence_id"),
         (F.col("place") + F.coalesce("at", F.lit(0))).alias("offset"),
     )
 
 
-def _round(items: DataFrame, level: int, capacity: int, full: int, most: int, more: bool) -> DataFrame:
-    """Each task's items packed best-fit decreasing: bin, to, at, fill of the new bin, and whether that is done."""
+def _round(counts: DataFrame, capacity: int, fan_in: int) -> DataFrame:
+    """The plan of a round, for each group of `fan_in` tasks, from counts by task and fill."""
 
     def merge(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values(["fill", "bin"], ascending=[False, True])
-        bins, places, fills = best_fit(pdf["fill"].tolist(), capacity)
-        go = carried(fills, capacity, full, most) if more else set()
-        first = {}  # a new bin is named after its first item, so that names stay unique
-        for b, name in zip(bins, pdf["bin"].tolist()):
-            first.setdefault(b, name)
-        return pd.DataFrame(
-            {"task": pdf["task"].to_numpy(), "bin": pdf["bin"].to_numpy(), "to": [first[b] for b in bins], "at": places,
-             "fill": [fills[b] for b in bins], "last": [b not in go for b in bins]}
-        )
+        rows = pack_ranges(list(zip(pdf["task"].tolist(), pdf["fill"].tolist(), pdf["n"].tolist())), capacity)
+        out = pd.DataFrame(rows, columns=["task", "fill", "rank", "n", "per", "at", "bin", "to_fill", "to_rank"])
+        out.insert(0, "group", int(pdf["group"].iloc[0]))
+        return out
 
-    return items.groupBy("task").applyInPandas(merge, "task int, bin long, to long, at long, fill long, last boolean")
+    group = F.floor(F.col("task") / fan_in).cast("int")
+    return counts.withColumn("group", group).groupBy("group").applyInPandas(merge, _PLAN)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,6 +256,38 @@ def test_packing_in_many_tasks_and_odd_rows(spark, odd):
     assert packing.pack(odd.limit(0), packing.word_tokenizer()).count() == 0
 
 
+def test_ranges_are_packed_like_single_items():
+    rng = np.random.default_rng(4)
+    for capacity, high in ((10, 9), (64, 40), (512, 500), (512, 60)):
+        for _ in range(40):
+            fills = rng.integers(1, high, int(rng.integers(1, 400)))
+            counts = [(t, f, n) for t in range(3) for f, n in Counter(fills[t::3].tolist()).items()]
+            got = packing.pack_ranges(counts, capacity)
+            _, _, want = packing.best_fit(sorted(fills.tolist(), reverse=True), capacity)
+            bins, seen = {}, set()
+            for task, fill, rank, n, per, at, first, to_fill, to_rank in got:
+                for i in range(n):
+                    assert (task, fill, rank + i) not in seen
+                    seen.add((task, fill, rank + i))
+                    bins.setdefault((first + i // per, to_fill, to_rank + i // per), []).append((at + i % per * fill, fill))
+            assert len(seen) == len(fills) and len(bins) == len({b for b, _, _ in bins}) == len({x[1:] for x in bins})
+            for (_, to_fill, _), items in bins.items():
+                end = 0
+                for at, n in sorted(items):
+                    assert at == end
+                    end += n
+                assert end == to_fill <= capacity
+            assert sorted(f for _, f, _ in bins) == sorted(want)
+
+
+def test_many_underfull_bins_are_all_handed_on():
+    # bins a little over half full, more than any task would hold one by one, and small ones that fit
+    counts = [(t, f, 50_000) for t in range(8) for f in range(2100, 2140)] + [(8, 1900, 16_000_000)]
+    got = packing.pack_ranges(counts, 4096)
+    assert sum(r[3] for r in got) == 8 * 40 * 50_000 + 16_000_000 and len(got) < 20_000
+    assert max(r[6] + -(-r[3] // r[4]) for r in got) == 16_000_000
+
+
 def test_word_cache_is_the_tokenizer():
     texts = ["It's don't THE The the, the,, (the) a1b2 3.14 e\u0301t\u00e9 \u00c9t\u00e9! \u0130x \u03a3\u039f\u03a3 \u212a \ufb01n x\u0338 \U0001f600ok", "", "<|endoftext|> a<|endoftext|>, l'an'", "\u4f60\u597d,\u4e16\u754c \u1112\u1161\u11ab a\u00a0b\u2003c"]
     texts += [d["text"] for d in rows("documents")]
