@@ -37,22 +37,33 @@ BOILER_TAGS = set("nav aside footer form head dialog menu search fieldset".split
 BOILER_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar status".split())
 BOILER_NAMES = set(
     "nav navbar navigation menu menus submenu topbar toolbar breadcrumb breadcrumbs pagination pager masthead footer sidebar "
-    "sidebars aside widget widgets ad ads advert adverts advertisement advertising adsense banner banners promo promos promotion "
-    "sponsor sponsored cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe "
-    "signup login share sharing social related recommended recommendations comment comments disqus respond reply replies "
-    "discussion search searchbox skip".split()
+    "sidebars ad ads advert adverts advertisement adsense promo promos sponsor sponsored cookie cookies consent gdpr newsletter "
+    "subscribe signup login share sharing comment comments disqus respond replies".split()
+)
+#: Words that an article's own parts are called by as well; alone, and only where no paragraph of text stands below.
+WEAK_NAMES = set(
+    "aside widget widgets advertising banner banners promotion notice notices notification alert popup modal overlay social "
+    "related recommended recommendations reply discussion search searchbox skip".split()
 )
 
 #: Parts of a class word that say something about a listed part of it, as in no-sidebar and comments-open.
 MODIFIERS = set("with without no not non has have is free open closed enabled disabled on off".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?(?=[\s/]|$)""", re.I)
+#: Elements nest so deep at most, as in browsers; deeper ones are part of the deepest.
+DEPTH = 256
+#: A tag is read with its quotes within so many characters; a longer one, or one whose quotes do not pair, ends at the first >.
+TAG, ATTRIBUTES = 4096, 1 << 14
+#: Elements whose content is no markup, up to the end of the page if they are not closed.
+PLAIN = set("script style textarea title iframe xmp noembed noframes".split())
+
+_START = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
+_TAG = re.compile(r"""<[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+_TAG_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_ATTRIBUTE = re.compile(r"""(?<![^\s/"'])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?(?=[\s/]|$)""", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _NAME = re.compile(r"[a-z]+")
+#: Pairs of children up to which lists of siblings are aligned at best.
+MOST = 250_000
 _SINGLE = re.compile(r"(?:p|h[1-6])(?![a-z0-9])")
 
 
@@ -60,26 +71,40 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(text)} if text else {}
 
 
-def _boiler_name(names: str) -> bool:
-    """Whether a class or id, of lowered names, tells boilerplate: one that has a listed part and no modifier."""
-    return any(kinds & BOILER_NAMES and not kinds & MODIFIERS for kinds in (set(_NAME.findall(x)) for x in names.split()))
+def _boiler_name(names: str) -> int:
+    """Whether a class or id, of lowered names, tells boilerplate: 1 if one of them has a listed part and no modifier,
+    2 if all of them have, and some a weak one only."""
+    kinds = [set(_NAME.findall(x)) for x in names.split()]
+    kinds = [k for k in kinds if k]
+    if any(k & BOILER_NAMES and not k & MODIFIERS for k in kinds):
+        return 1
+    return 2 if kinds and all(k & WEAK_NAMES and not k & MODIFIERS for k in kinds) else 0
 
 
 class Page:
     """A page's block elements.  parent, label and boiler of each node; texts: (node, block of text), in page order.
 
-    boiler has tags, roles and hidden elements and what is below; called has nodes whose class or id is of boilerplate.
+    boiler has tags, roles and hidden elements and what is below; called has nodes whose class or id is of boilerplate,
+    as _boiler_name() says.  Parsing takes time in proportion to the page, whatever is broken in it.
     """
 
     def __init__(self, source: str):
-        self.parent, self.label, self.boiler, self.called, self.link = [-1], ["#"], [False], [False], [0]
+        self.parent, self.label, self.boiler, self.called, self.link = [-1], ["#"], [False], [0], [0]
         self.texts: list[tuple[int, str]] = []
         self._last: dict[int, int] = {}  # a node's last child
         self._stack: list[tuple[str, int]] = [("#", 0)]
         self._buffer: list[str] = []
         self._anchor = 0
+        self._beyond = 0  # open elements below the depth
+        self._open_tags: Counter = Counter()
         self._parse(source)
 
+    def _cut(self, k: int) -> None:
+        """Close the elements from place k of the stack on."""
+        for tag, _ in self._stack[k:]:
+            self._open_tags[tag] -= 1
+        del self._stack[k:]
+
     def _flush(self) -> None:
         if self._buffer:
             text = " ".join(entities.unescape("".join(self._buffer)).split())
@@ -90,21 +115,22 @@ class Page:
 
     def _open(self, tag: str, attributes: str) -> None:
         self._flush()
-        stack = self._stack
-        if tag in CLOSES:
+        stack, open_tags = self._stack, self._open_tags
+        if tag in CLOSES and (open_tags[tag] or tag in ("dt", "dd", "td", "th")):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in CLOSES[tag]:
                     break
                 if stack[k][0] == tag or (tag in ("dt", "dd", "td", "th") and stack[k][0] in ("dt", "dd", "td", "th")):
-                    del stack[k:]
+                    self._cut(k)
+                    break
+        if open_tags["p"]:
+            for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
+                if stack[k][0] == "p":
+                    self._cut(k)
+                    break
+                if stack[k][0] in ("td", "th", "table", "button"):
                     break
-        for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-            if stack[k][0] == "p":
-                del stack[k:]
-                break
-            if stack[k][0] in ("td", "th", "table", "button"):
-                break
-        a, above = _attributes(attributes), stack[-1][1]
+        a, above = _attributes(attributes[:ATTRIBUTES]), stack[-1][1]
         names = " ".join((a.get("class", ""), a.get("id", ""))).lower()
         kinds = set(_NAME.findall(names))
         boiler = (
@@ -112,7 +138,7 @@ class Page:
             or a.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(a.get("style", "")))
             or (tag == "header" and not any(t in ("article", "main") for t, _ in stack))
         )
-        called = tag not in ("html", "body", "article", "main") and bool(kinds & BOILER_NAMES) and _boiler_name(names)
+        called = 0 if tag in ("html", "body", "article", "main") or not names.strip() else _boiler_name(names)
         label = f"{tag}.{'.'.join(sorted(kinds))}" if kinds else tag
         if a.get("role", "").lower() == "main" or a.get("itemprop", "").lower() == "articlebody":
             label += "!"
@@ -127,42 +153,78 @@ class Page:
             self.called.append(called)
             self.link.append(0)
             self._last[above] = node
-        if tag not in VOID:
+        if tag in VOID:
+            return
+        if len(stack) > DEPTH:
+            self._beyond += 1
+        else:
             stack.append((tag, node))
+            open_tags[tag] += 1
+
+    def _close(self, tag: str) -> None:
+        if self._beyond:
+            self._flush()
+            self._beyond -= 1
+        elif self._open_tags[tag]:
+            for k in range(len(self._stack) - 1, 0, -1):
+                if self._stack[k][0] == tag:
+                    self._flush()
+                    self._cut(k)
+                    break
 
     def _parse(self, source: str) -> None:
-        at, stack, buffer = 0, self._stack, self._buffer
-        while m := _TOKEN.search(source, at):
-            if m.start() > at:
-                text = source[at : m.start()]
+        at, end_of, stack, buffer = 0, len(source), self._stack, self._buffer
+        unclosed: set[str] = set()  # elements of which no end is left
+
+        def after(mark: str, start: int) -> int:
+            k = source.find(mark, start)
+            return end_of if k < 0 else k + len(mark)
+
+        while m := _START.search(source, at):
+            start = m.start()
+            if start > at:
+                text = source[at:start]
                 buffer.append(text)
                 if self._anchor:
                     self.link[stack[-1][1]] += len(text)
-            at = m.end()
-            if m[2]:
-                tag = m[2].lower()
-                if tag in RAW and not m[3].endswith("/"):
-                    end = re.compile(rf"</{re.escape(tag)}\s*(?:>|$|[\s/][^>]*>)", re.I).search(source, at)
-                    at = end.end() if end else len(source)
+            kind = m[0]
+            if kind == "<!--":
+                at = after("-->", start + 2)
+            elif kind == "<![CDATA[":
+                at = after("]]>", start)
+            elif kind in ("<!", "<?"):
+                at = after(">", start)
+            else:
+                tag = _TAG_NAME.match(source, start)[1].lower()
+                if kind[1] == "/":
+                    at = after(">", start)
+                    if tag == "a":
+                        self._anchor = 0
+                    elif tag in BLOCK:
+                        self._close(tag)
+                    continue
+                whole = _TAG.match(source, start, min(end_of, start + TAG))
+                at = whole.end() if whole else after(">", start)
+                if at == end_of and source[-1] != ">":
+                    break  # the page ends within a tag
+                attributes = source[start + 1 + len(tag) : at - 1]
+                if tag in RAW and not attributes.endswith("/"):
+                    end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*(?:>|$|[\s/][^>]*>)", re.I).search(source, at)
+                    if end:
+                        at = end.end()
+                    elif tag in PLAIN:
+                        at = end_of
+                    else:
+                        unclosed.add(tag)
                 elif tag in BLOCK:
-                    self._open(tag, m[3])
+                    self._open(tag, attributes)
                 elif tag == "a":
                     self._anchor = 1
                 elif tag == "br":
                     buffer.append("\n")
-            elif m[1]:
-                tag = m[1].lower()
-                if tag == "a":
-                    self._anchor = 0
-                elif tag in BLOCK:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == tag:
-                            self._flush()
-                            del stack[k:]
-                            break
-        rest = source[at:]
-        if rest:
-            buffer.append(rest)
+        else:
+            if at < end_of:
+                buffer.append(source[at:])
         self._flush()
 
     def pack(self) -> bytes:
@@ -176,16 +238,23 @@ class Tree:
         self.parent, self.label, self.boiler, self.called, self.link, self.texts = json.loads(zlib.decompress(packed).decode("utf-8", "surrogatepass"))
         n = len(self.label)
         self.children: list[list[int]] = [[] for _ in range(n)]
-        self.path = ["#"] * n
+        self.path = [0] * n  # a hash of the labels from the root
         self.own: list[int] = [0] * n
         self.size = [0] * n
         self.single = [_SINGLE.match(x) is not None for x in self.label]
         for i in range(1, n):
             self.children[self.parent[i]].append(i)
-            self.path[i] = f"{self.path[self.parent[i]]}/{self.label[i]}"
+            name = zlib.crc32(self.label[i].encode("utf-8", "surrogatepass"))
+            self.path[i] = (self.path[self.parent[i]] * 0x100000001B3 ^ name) % (1 << 64) + 1
         for node, text in self.texts:
             self.own[node] = zlib.crc32(text.encode("utf-8", "surrogatepass"), self.own[node])
             self.size[node] += len(text)
+        # a weak name counts where no paragraph of text stands below, or most of the text is links
+        size, link, told = self.size[:], self.link[:], [s and x for s, x in zip(self.size, self.single)]
+        for i in range(n - 1, 0, -1):
+            up = self.parent[i]
+            size[up], link[up], told[up] = size[up] + size[i], link[up] + link[i], told[up] or told[i]
+        self.called = [c == 1 or (c == 2 and (not told[i] or 2 * link[i] >= size[i])) for i, c in enumerate(self.called)]
         self.hard = self.boiler
         self.mark(set())
 
@@ -202,7 +271,8 @@ class Tree:
         boiler, self.boiler = self.boiler, self.hard
         left, most = (sum(x for x, b in zip(self.size, dropped) if not b) for dropped in (boiler, self.hard))
         if named:
-            at = max(named, key=lambda i: (_mass(self, i), -i))
+            total = _masses(self)
+            at = max(named, key=lambda i: (total[i], -i))
             hidden = all(boiler[i] for i in named) and left <= 0.5 * most
         else:
             at = _heaviest(self, set())
@@ -215,39 +285,73 @@ class Tree:
 
 
 def match(a: Tree, b: Tree) -> dict[int, int]:
-    """Simple tree matching: b's node -> a's node of a largest top-down alignment that keeps the order of siblings."""
+    """Simple tree matching: b's node -> a's node of a largest top-down alignment that keeps the order of siblings.
+
+    Without recursion, so that depth is no matter.  Children that have the same labels at both ends of the lists are
+    paired there; of what is left, lists with more than MOST pairs are aligned from the left.
+    """
     known: dict[tuple[int, int], tuple[int, list]] = {}
+    ends: dict[tuple[int, int], tuple[list, list, list]] = {}
 
-    def weigh(x: int, y: int) -> int:
-        if a.label[x] != b.label[y]:
-            return 0
-        if (x, y) in known:
-            return known[x, y][0]
+    def parts(x: int, y: int):
+        """The pairs at both ends of the lists of children, and what is left of the lists."""
         p, q = a.children[x], b.children[y]
-        if len(p) == len(q) and all(a.label[i] == b.label[j] for i, j in zip(p, q)):
-            pairs = list(zip(p, q))  # no alignment has more
-            total = 1 + sum(weigh(i, j) for i, j in pairs)
-        else:
-            best = [[0] * (len(q) + 1)]
+        most = min(len(p), len(q))
+        k = 0
+        while k < most and a.label[p[k]] == b.label[q[k]]:
+            k += 1
+        n = 0
+        while n < most - k and a.label[p[-1 - n]] == b.label[q[-1 - n]]:
+            n += 1
+        pairs = list(zip(p[:k], q[:k])) + (list(zip(p[-n:], q[-n:])) if n else [])
+        p, q = p[k : len(p) - n], q[k : len(q) - n]
+        if len(p) * len(q) > MOST:
+            places: dict[str, list[int]] = {}
+            for place in range(len(q) - 1, -1, -1):
+                places.setdefault(b.label[q[place]], []).append(place)
+            at = 0
             for i in p:
-                above, row = best[-1], [0]
-                for k, j in enumerate(q):
-                    row.append(max(above[k + 1], row[-1], above[k] + weigh(i, j)))
-                best.append(row)
-            total, pairs, i, j = 1 + best[-1][-1], [], len(p), len(q)
-            while i and j:
-                if best[i][j] == best[i - 1][j]:
-                    i -= 1
-                elif best[i][j] == best[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    pairs.append((p[i], q[j]))
+                left = places.get(a.label[i], [])
+                while left and left[-1] < at:
+                    left.pop()
+                if left:
+                    at = left.pop() + 1
+                    pairs.append((i, q[at - 1]))
+            p = q = []
+        return pairs, p, q
+
+    todo = [(0, 0)]
+    while todo:
+        x, y = todo[-1]
+        if (x, y) in known:
+            todo.pop()
+            continue
+        if (x, y) not in ends:
+            ends[x, y] = parts(x, y)
+            pairs, p, q = ends[x, y]
+            more = [*pairs, *((i, j) for i in p for j in q if a.label[i] == b.label[j])]
+            todo += [z for z in more if z not in known]
+            continue
+        todo.pop()
+        pairs, p, q = ends.pop((x, y))
+        best = [[0] * (len(q) + 1)]
+        for i in p:
+            above, row = best[-1], [0]
+            for k, j in enumerate(q):
+                row.append(max(above[k + 1], row[-1], above[k] + known[i, j][0] if a.label[i] == b.label[j] else 0))
+            best.append(row)
+        total, i, j = 1 + best[-1][-1] + sum(known[z][0] for z in pairs), len(p), len(q)
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((p[i], q[j]))
         known[x, y] = total, pairs
-        return total
 
     out: dict[int, int] = {}
-    weigh(0, 0)
     todo = [(0, 0)]
     while todo:
         x, y = todo.pop()
@@ -256,13 +360,14 @@ def match(a: Tree, b: Tree) -> dict[int, int]:
     return out
 
 
-def content_path(tree: Tree, constant: set[int]) -> str:
+def content_path(tree: Tree, constant: set[int]) -> int:
     """The path of the node that holds the page's text, as far as it is neither boilerplate nor template."""
     n = len(tree.label)
     for wanted in ("!", "article", "main"):
         found = [i for i in range(n) if not tree.boiler[i] and (tree.label[i].endswith("!") if wanted == "!" else tree.label[i].split(".")[0].rstrip("!") == wanted)]
         if found:
-            return tree.path[max(found, key=lambda i: (_mass(tree, i), -i))]
+            total = _masses(tree)
+            return tree.path[max(found, key=lambda i: (total[i], -i))]
     return tree.path[_heaviest(tree, constant)]
 
 
@@ -281,12 +386,12 @@ def _heaviest(tree: Tree, constant: set[int]) -> int:
     return at
 
 
-def _mass(tree: Tree, top: int) -> int:
-    inside = {top}
-    for i in range(top + 1, len(tree.label)):
-        if tree.parent[i] in inside:
-            inside.add(i)
-    return sum(tree.size[i] for i in inside if not tree.boiler[i])
+def _masses(tree: Tree) -> list[int]:
+    """The text in and below each node that is no boilerplate."""
+    total = [0 if dropped else n for n, dropped in zip(tree.size, tree.boiler)]
+    for i in range(len(total) - 1, 0, -1):
+        total[tree.parent[i]] += total[i]
+    return total
 
 
 def distinct(trees: list[Tree]) -> list[int]:

@@ -151,6 +151,44 @@ def test_html_odd_rows(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+def test_html_induction_decides():
+    story = lambda k: f"Story {k} has words of its own, {k} by {k}, and so many that the pages are no copies."
+    bodies = [f"<div class=x{k % 2}><div>Read our paper daily, the best in town.</div><article><p>{story(k)}<p>By our own staff.</article></div>" for k in range(6)]
+    pages = [page(k, b) for k, b in enumerate(bodies)]
+    assert text_of(*pages) == [story(k) for k in range(6)]
+    assert [text_of(p)[0] for p in pages] == [f"{story(k)}\nBy our own staff." for k in range(6)]
+
+
+def test_html_class_words_of_real_paragraphs():
+    for name in ("social history", "related", "discussion", "notice", "search"):
+        assert text_of(f"<article><h1>T</h1><p>One is here.<div class='{name}'><p>Two is a real paragraph.</div></article>") == ["T\nOne is here.\nTwo is a real paragraph."]
+    assert text_of("<article><p>One is here.<div class=related><ul><li><a href=x>More of it</a><li><a href=y>And more</a></ul></div></article>") == ["One is here."]
+
+
+def test_html_broken_pages_take_no_time():
+    import time
+
+    began = time.perf_counter()
+    assert text_of("<div>" * 20_000 + "deep" + "</div>" * 20_000 + "<p>after") == ["deep\nafter"]
+    assert text_of("<div>" * 100_000 + "deep") == ["deep"]
+    assert text_of("<div>" * 600 + "<p>one", "<div>" * 700 + "<p>two", "<div>" * 800 + "<p>three") == ["one", "two", "three"]
+    assert text_of("x<a b=\"" * 20_000) == ["x"]
+    assert text_of("<x \"'>w" * 20_000)[0].count("w") > 5_000  # a quote may end in another tag
+    assert text_of("<button>" * 50_000 + "ok") == ["ok"]
+    assert len(text_of("<ul>" + "<div>" * 5_000 + "<li>a</li>" * 20_000)[0]) >= 20_000
+    assert len(text_of("<p>a<div>b</div>" * 20_000, "<div>b</div><p>a" * 20_000)[1]) >= 79_999
+    assert len(text_of("<article>a</article><p>b" * 20_000)[0]) > 0
+    assert time.perf_counter() - began < 60
+
+
+def test_html_broken_tags_are_no_text():
+    assert text_of('<p title="a>One.') == ["One."]
+    assert text_of("<p title='a>One.<b class=\"x\">two</b>") == ["One.two"]
+    assert text_of('<p title="a > b">One.</p><img alt=">">') == ["One."]
+    assert text_of("<p>One <b") == ["One"] and text_of("<p>a < b and c > d") == ["a < b and c > d"]
+    assert text_of('<p data-x="' + "y" * 10_000 + '">One') == ["One"]
+
+
 def test_matching_keeps_order():
     a, b = (html_text.Tree(html_text.Page(s).pack()) for s in ("<div><h1>a</h1><p>b</p><ul><li>c</ul></div>", "<div><p>x</p><table><tr><td>y</table><ul><li>z</ul></div>"))
     pairs = {(a.label[x], b.label[y]) for y, x in html_text.match(a, b).items()}
