@@ -55,3 +55,30 @@ def test_hash_collisions_are_compared(spark, monkeypatch):
     monkeypatch.setattr(line_dedup.F, "xxhash64", lambda c: line_dedup.F.length(c).cast("long"))
     got = texts(run(spark, [(1, LONG, 0, ""), (2, other, 0, ""), (3, LONG, 0, "")]))
     assert got == {1: LONG, 2: other, 3: ""}
+
+
+def test_passages_of_short_lines_go_to_their_edges(spark):
+    shapes = [(6, 9), (4, 13), (8, 8), (10, 8), (3, 17), (13, 4)]
+    for shape, (lines, words) in enumerate(shapes):
+        rows = []
+        for p in range(25):
+            passage = "\n".join(" ".join(f"p{shape}_{p}_{i}_{j}" for j in range(words)) for i in range(lines))
+            for d in range(3):
+                k = 10 * p + d
+                rows.append((k, f"Start {k}\nof it {k}\n{passage}\nthen {k}\nend {k}", 0, "s"))
+        got = texts(run(spark, rows))
+        whole = [k for k, t, _, _ in rows if got[k] == f"Start {k}\nof it {k}\nthen {k}\nend {k}"]
+        assert all(got[k] == t for k, t, _, _ in rows if k % 10 == 0)
+        if lines * words < 60 and words >= 10:  # a line of ten words is a chunk by itself
+            assert len(whole) == 50
+        assert len(whole) >= 46, shape
+
+
+def test_a_chunk_of_many_documents_and_a_very_long_text(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "_SALT", 3)
+    rows = [(k, f"a {k}\n{LONG}\nb {k}", 0, "s") for k in range(40)]
+    long = "\n".join(f"line {i} of a long text" for i in range(30_000))
+    rows += [(100, long, 0, "s"), (101, long + "\nmore", 0, "s")]
+    got = texts(run(spark, rows))
+    assert got[0] == rows[0][1] and all(got[k] == f"a {k}\nb {k}" for k in range(1, 40))
+    assert got[100] == long and got[101] == "more"
