@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from kinmesh.errors import InvalidTopK
 from kinmesh.functions.embedders import Embedder, embed
-from kinmesh.operators.knn import check_width, knn_join
+from kinmesh.operators.index import FlatIndex
+from kinmesh.operators.knn import check_width
+from kinmesh.ports import SearchableIndex, VectorIndex
 from kinmesh.storage import stash
 
 
@@ -20,9 +22,10 @@ def check_top_k(k: int) -> int:
 class DenseBlocker:
     """How records are indexed; build() gives the index."""
 
-    def __init__(self, *, embedder: Embedder, similarity_threshold: float = 0.0, top_k: int = 10, batch_size: int | None = None, strategy: str | None = None):
+    def __init__(self, *, embedder: Embedder, similarity_threshold: float = 0.0, top_k: int = 10, batch_size: int | None = None, strategy: str | None = None, index: VectorIndex | None = None):
         self.embedder, self.similarity_threshold, self.top_k = embedder, similarity_threshold, top_k
         self.batch_size, self.strategy = batch_size, strategy
+        self.index = index or FlatIndex(strategy)
 
     def build(self, records: DataFrame) -> DenseBlockingIndex:
         check_top_k(self.top_k)
@@ -34,9 +37,15 @@ class DenseBlockingIndex:
     """Indexed records (id, text, fields, pos) and their vectors (id, pos, vector)."""
 
     def __init__(self, spec: DenseBlocker, records: DataFrame, vectors: DataFrame):
-        self.spec, self.records, self.vectors = spec, records, vectors
+        self.spec, self.records = spec, records
+        self.searchable: SearchableIndex = spec.index.build(vectors, spec.embedder.embedding_dim)
+
         self._n: int | None = None
 
+    @property
+    def vectors(self) -> DataFrame:
+        return self.searchable.vectors
+
     @property
     def n(self) -> int:
         if self._n is None:
@@ -50,8 +59,7 @@ class DenseBlockingIndex:
     def hits(self, vectors: DataFrame, *, top_k=None, similarity_threshold=None, right: DataFrame | None = None) -> DataFrame:
         k = check_top_k(self.spec.top_k if top_k is None else top_k)
         least = self.spec.similarity_threshold if similarity_threshold is None else similarity_threshold
-        dim = self.spec.embedder.embedding_dim
-        got = knn_join(vectors, self.vectors, k=k, dim=dim, threshold=least, strategy=self.spec.strategy, n_index=self.n)
+        got = self.searchable.search(vectors, top_k=k, threshold=least)
         if right is None:
             return got.select("left_id", "right_id", "similarity", F.lit(None).cast("string").alias("left_text"), F.lit(None).cast("string").alias("right_text"), "right_pos", "rank")
         left_text = self.records.select(F.col("id").alias("left_id"), F.col("text").alias("left_text"))

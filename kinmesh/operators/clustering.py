@@ -7,27 +7,37 @@ from pyspark.sql import functions as F
 
 from kinmesh.functions.text import id_text
 from kinmesh.operators.results import ClusteringResult, LinkageResult
+from kinmesh.operators.skew import join_hot
 from kinmesh.storage import stash
 
 
-def smallest_reachable(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+#: Edges that one task may hold.
+SMALL = 1_000_000
+
+
+def smallest_reachable(edges: DataFrame, most_rounds: int = 200, small: int = SMALL) -> DataFrame:
     """(node, root): the smallest node of each linked node's component.
 
-    Edges are (a, b).  Large-star and small-star steps alternate; they end as stars after a number of rounds in the
-    logarithm of the nodes, each written to the shared folder.  Only minima by node are aggregated, so a node with
-    many edges costs no list.
+    Edges are (a, b).  Up to `small` edges, which are counted, are one task's work.  Beyond that, large-star and
+    small-star steps alternate; they end as stars after a number of rounds in the logarithm of the nodes, each written
+    to the shared folder.  Only minima by node are aggregated, and a node with many edges is no join's hot key.
     """
     a, b = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     edges = stash(edges.where("a <> b").select(a, b).distinct(), "edges")
+    if edges.count() <= small:
+        return _in_one_task(edges)
+
+    def minima(df: DataFrame) -> DataFrame:
+        return stash(df.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "edges-minima")
+
     before = None
     for _ in range(most_rounds):
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        larger = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        starred = larger.where("a > b").distinct()
-        low = starred.groupBy("a").agg(F.min("b").alias("m"))
-        small = starred.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stash(small.union(low.select("a", F.col("m").alias("b"))).where("a > b").distinct(), "edges")
+        both = stash(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges-both")
+        larger = join_hot(both, minima(both), ["a"]).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        starred = stash(larger.where("a > b").distinct(), "edges-starred")
+        low = minima(starred)
+        below = join_hot(starred, low, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = stash(below.union(low.select("a", F.col("m").alias("b"))).where("a > b").distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -36,6 +46,35 @@ def smallest_reachable(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def unite(batches):
+        import pyarrow as pa
+
+        up: dict = {}
+
+        def root(x):
+            while (y := up[x]) != x:
+                up[x] = x = up[y]
+            return x
+
+        column = None
+        for batch in batches:
+            column = batch.column(0).type
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                up.setdefault(x, x)
+                up.setdefault(y, y)
+                p, q = root(x), root(y)
+                if p != q:
+                    up[max(p, q)] = min(p, q)
+        if up:
+            nodes = list(up)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, column), pa.array([root(x) for x in nodes], column)], ["node", "root"])
+
+    return edges.coalesce(1).mapInArrow(unite, f"node {kind}, root {kind}")
+
+
 def numbered(roots: DataFrame) -> DataFrame:
     """(root, cluster_id) with ids 0, 1, ... by root.
 

@@ -161,16 +161,79 @@ class CallableMatcher(Matcher):
         return rows.mapInArrow(run, schema)
 
 
+def check_prompt(prompt: str) -> None:
+    wrong = sorted({f for _, f, _, _ in string.Formatter().parse(prompt) if f is not None} - {"record_a", "record_b"})
+    if wrong:
+        raise ValueError(f"the prompt may use record_a and record_b only, not {wrong}; write {{{{ and }}}} for braces")
+
+
 class PromptMatcher(CallableMatcher):
     """A model that takes a prompt with {record_a} and {record_b} in it, and gives a decision."""
 
     def __init__(self, *, llm: Callable[[str], object], prompt: str, retry: RetryPolicy | None = None, max_concurrency: int = 1):
-        wrong = sorted({f for _, f, _, _ in string.Formatter().parse(prompt) if f is not None} - {"record_a", "record_b"})
-        if wrong:
-            raise ValueError(f"the prompt may use record_a and record_b only, not {wrong}; write {{{{ and }}}} for braces")
+        check_prompt(prompt)
         super().__init__(lambda a, b: llm(prompt.format(record_a=a, record_b=b)), retry=retry, max_concurrency=max_concurrency)
 
 
+#: What a model is asked to give.
+VERDICT = {
+    "title": "Verdict", "description": "Whether two records are the same entity.", "type": "object", "required": ["is_match"],
+    "properties": {"is_match": {"type": "boolean"}, "confidence": {"type": ["number", "null"]}, "rationale": {"type": ["string", "null"]}},
+}
+
+
+class StructuredModelMatcher(Matcher):
+    """A chat model of LangChain's interface, bound once to the structure of a verdict.
+
+    The model has with_structured_output(schema), and what that gives has batch(prompts, config=, return_exceptions=).
+    An Arrow batch's prompts are asked in one call; those that failed, and only those, are asked again as one smaller
+    call after the backoff.  What still fails is an error row.  The model goes to the workers, so it must be picklable.
+    """
+
+    needs_text = True
+    persist = True
+
+    def __init__(self, *, llm, prompt: str, retry: RetryPolicy | None = None, max_concurrency: int = 1):
+        check_prompt(prompt)
+        self.model, self.prompt = llm.with_structured_output(VERDICT), prompt
+        self.retry, self.max_concurrency = retry or RetryPolicy(), max_concurrency
+
+    def match(self, pairs: DataFrame) -> DataFrame:
+        model, prompt, retry, n = self.model, self.prompt, self.retry, self.max_concurrency
+        schema = "left_id string, right_id string, similarity double, match boolean, confidence double, reason string, error string"
+
+        def verdict(got) -> tuple:
+            value = got.get if isinstance(got, dict) else lambda k: getattr(got, k, None)
+            sure, why = value("confidence"), value("rationale")
+            return bool(value("is_match")), None if sure is None else float(sure), None if why is None else str(why), None
+
+        def ask(prompts: list[str]) -> list[tuple]:
+            out: list = [None] * len(prompts)
+            tries = retry.max_retries + 1
+            for attempt in range(tries):
+                open_ = [k for k, x in enumerate(out) if x is None or x[3] is not None]
+                if not open_:
+                    break
+                if attempt and retry.backoff_seconds:
+                    time.sleep(retry.backoff_seconds)
+                answers = model.batch([prompts[k] for k in open_], config={"max_concurrency": n}, return_exceptions=True)
+                for k, x in zip(open_, answers, strict=True):
+                    out[k] = (None, None, None, f"LLM matching failed after {tries} attempt(s): {x!r}") if isinstance(x, Exception) else verdict(x)
+            return out
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                a, b = ([t or "" for t in batch.column(c).to_pylist()] for c in ("left_text", "right_text"))
+                if got := ask([prompt.format(record_a=x, record_b=y) for x, y in zip(a, b)]):
+                    columns = [pa.array(list(c), t) for c, t in zip(zip(*got), (pa.bool_(), pa.float64(), pa.string(), pa.string()))]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *columns], OUTCOME)
+
+        rows = pairs.select("left_id", "right_id", F.col("similarity").cast("double").alias("similarity"), "left_text", "right_text")
+        return rows.mapInArrow(run, schema)
+
+
 class FlakyMatcher(Matcher):
     """A matcher of which a share of pairs fails, chosen by crc32 of 'left|right': as errors, or silently as no match."""
 

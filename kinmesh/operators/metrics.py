@@ -162,10 +162,11 @@ class ThresholdSweep:
         return max(self.points, key=lambda p: (p[1].f1, p[0]))
 
     def at_recall(self, target: float) -> tuple[float, LinkageMetrics]:
+        """Of the thresholds that reach the recall, that of the best F1, ties to the higher one."""
         reached = [p for p in self.points if p[1].recall >= target]
         if not reached:
             raise ValueError(f"no threshold reaches recall {target}")
-        return max(reached, key=lambda p: p[0])
+        return max(reached, key=lambda p: (p[1].f1, p[0]))
 
 
 def sweep_rows(candidates: DataFrame, gold: DataFrame, thresholds: Iterable[float] | None = None, directed: bool = True) -> DataFrame:

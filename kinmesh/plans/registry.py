@@ -256,6 +256,19 @@ def q_link_names(spark, d):
     return outcome(DenseLinker.with_defaults().link(left, right))
 
 
+def q_block_names(spark, d):
+    """Candidates of the same tables by DenseLinker.block, with another k and threshold than the blocker's."""
+    left = Source(table(spark, d, "supplier"), "s_suppkey", FieldwiseSerializer(["s_name", "s_nationkey"]))
+    right = Source(table(spark, d, "customer"), "c_custkey", FieldwiseSerializer(["c_name", "c_nationkey"]))
+    return scored(DenseLinker.with_defaults().block(left, right, top_k=3, similarity_threshold=0.25))
+
+
+def q_dedupe_names(spark, d):
+    """Suppliers deduplicated by the default linker, each pair once."""
+    source = Source(table(spark, d, "supplier"), "s_suppkey", FieldwiseSerializer(["s_name", "s_nationkey"]))
+    return outcome(DenseLinker.with_defaults().dedupe(source))
+
+
 def q_saved_index(spark, d):
     """The same, from an index that was saved and loaded."""
     left = Source(table(spark, d, "supplier"), "s_suppkey", FieldwiseSerializer(["s_name", "s_nationkey"]))
@@ -349,7 +362,48 @@ edge AS (SELECT left_id AS a, right_id AS b FROM h WHERE similarity >= 0.3 UNION
 reach(id, root) AS (SELECT id, id FROM v UNION SELECT edge.b, reach.root FROM reach JOIN edge ON edge.a = reach.id),
 roots AS (SELECT id, min(root) AS root FROM reach GROUP BY id)"""
 
+#: The default linker's vectors of both tables, and each query's indexed records by rank.
+_LINKER = """
+l AS (SELECT s_suppkey::VARCHAR AS id, s_suppkey AS pos, lower(concat_ws(' | ', s_name, s_nationkey)) AS t FROM supplier),
+q AS ({query}),
+texts AS (SELECT 0 AS side, * FROM l UNION ALL SELECT 1, * FROM q),
+pieces AS (SELECT side, id, substring(t, i, 3) AS s FROM (SELECT *, unnest(range(1, greatest(length(t) - 2, 1) + 1)) AS i FROM texts)),
+words AS (SELECT DISTINCT s FROM pieces), {crc},
+counts AS (SELECT side, id, (crc % 1024)::INT AS bucket, count(*) AS n FROM pieces JOIN crc USING (s) GROUP BY ALL),
+norms AS (SELECT side, id, sqrt(sum(n * n)::DOUBLE)::FLOAT AS len FROM counts GROUP BY ALL),
+unit AS (SELECT side, id, bucket, (n::FLOAT / len)::DOUBLE AS w FROM counts JOIN norms USING (side, id)),
+dots AS (SELECT a.id AS left_id, b.id AS right_id, sum(a.w * b.w) AS dot FROM unit a JOIN unit b USING (bucket) WHERE a.side = 0 AND b.side = 1 GROUP BY ALL),
+scores AS (SELECT l.id AS left_id, q.id AS right_id, q.pos AS right_pos, round(coalesce(dot, 0), 9) AS similarity FROM l CROSS JOIN q LEFT JOIN dots ON left_id = l.id AND right_id = q.id),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY right_id ORDER BY similarity DESC, left_id) AS rank FROM scores)"""
+_CUSTOMERS = "SELECT c_custkey::VARCHAR AS id, c_custkey AS pos, lower(concat_ws(' | ', c_name, c_nationkey)) AS t FROM customer"
+_LINKED = f"WITH RECURSIVE {_LINKER.format(query=_CUSTOMERS, crc=_CRC)} SELECT {_OUT.format(match='similarity >= 0.5', error='NULL::VARCHAR')} FROM ranks WHERE rank <= 5 AND similarity >= 0"
+
+_DOCUMENTS = f"""WITH RECURSIVE texts AS (SELECT doc_id::VARCHAR AS id, coalesce(text, 'None') AS t FROM documents),
+keyed AS (SELECT *, min(id) OVER (PARTITION BY CASE WHEN regexp_matches(t, '\\S') THEN t ELSE 'id ' || id END) AS first FROM texts),
+firsts AS (SELECT id, lower(t) AS t FROM keyed WHERE id = first),
+pieces AS (SELECT id, substring(t, i, 3) AS s FROM (SELECT *, unnest(range(1, greatest(length(t) - 2, 1) + 1)) AS i FROM firsts WHERE regexp_matches(t, '\\S'))),
+words AS (SELECT DISTINCT s FROM pieces), {_CRC},
+counts AS (SELECT id, (crc % 1024)::INT AS bucket, count(*) AS n FROM pieces JOIN crc USING (s) GROUP BY ALL),
+norms AS (SELECT id, sqrt(sum(n * n)::DOUBLE)::FLOAT AS len FROM counts GROUP BY ALL),
+unit AS (SELECT id, bucket, (n::FLOAT / len)::DOUBLE AS w FROM counts JOIN norms USING (id)),
+grid AS (SELECT f.id, list(coalesce(w, 0) ORDER BY k) AS e FROM firsts f CROSS JOIN range(1024) r(k) LEFT JOIN unit u ON u.id = f.id AND u.bucket = k GROUP BY f.id),
+scores AS (SELECT a.id AS left_id, b.id AS right_id, round(list_inner_product(a.e, b.e), 9) AS similarity FROM grid a CROSS JOIN grid b),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY right_id ORDER BY similarity DESC, left_id) AS rank FROM scores),
+link AS (SELECT left_id AS a, right_id AS b FROM ranks WHERE rank <= 5 AND similarity >= 0.95 AND left_id <> right_id
+         UNION SELECT id, first FROM keyed WHERE id <> first),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(id, root) AS (SELECT id, id FROM texts UNION SELECT edge.b, reach.root FROM reach JOIN edge ON edge.a = reach.id),
+roots AS (SELECT id, min(root) AS root FROM reach GROUP BY id)
+SELECT id AS record_id, (dense_rank() OVER (ORDER BY root) - 1)::INT AS cluster_id FROM roots"""
+
 ORACLE_SQL = {
+    "dedupe_documents": _DOCUMENTS,
+    "link_names": _LINKED,
+    "saved_index": _LINKED,
+    "stream_link": _LINKED,
+    "block_names": f"WITH RECURSIVE {_LINKER.format(query=_CUSTOMERS, crc=_CRC)} SELECT right_id, left_id, similarity FROM ranks WHERE rank <= 3 AND similarity >= 0.25",
+    "dedupe_names": f"""WITH RECURSIVE {_LINKER.format(query='SELECT * FROM l', crc=_CRC)}, firsts AS (SELECT *, row_number() OVER (PARTITION BY least(left_id, right_id), greatest(left_id, right_id) ORDER BY right_pos, rank) AS n
+FROM ranks WHERE rank <= 5 AND similarity >= 0 AND left_id <> right_id) SELECT {_OUT.format(match='similarity >= 0.5', error='NULL::VARCHAR')} FROM firsts WHERE n = 1""",
     "serialize_whole_row": "SELECT s_suppkey::VARCHAR AS id, concat_ws(' | ', s_suppkey::VARCHAR, s_name, s_nationkey::VARCHAR, s_acctbal::VARCHAR) AS text FROM supplier",
     "serialize_fieldwise": "SELECT c_custkey::VARCHAR AS id, c_name || ' |  | ' || c_mktsegment AS text FROM customer",
     "serialize_template": "SELECT p_partkey::VARCHAR AS id, p_name || ' by ' || p_brand || ': ' || p_retailprice::VARCHAR || ' {' || p_size::VARCHAR || '}' AS text FROM part",

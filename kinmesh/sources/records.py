@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinmesh.errors import DuplicateRecordId, EmptySource, UnknownIdColumn
 from kinmesh.functions.text import Serializer, default_serializer, id_text
@@ -16,6 +17,10 @@ from kinmesh.functions.text import Serializer, default_serializer, id_text
 PAIR_COLUMNS = ["left_id", "right_id", "similarity", "left_text", "right_text"]
 
 
+#: Gold pairs that are split on the driver.
+SHUFFLED = 50_000
+
+
 def as_frame(frame) -> DataFrame:
     """A Spark DataFrame as it is; a pandas frame through the active session."""
     if isinstance(frame, DataFrame):
@@ -33,7 +38,8 @@ class Source:
 
 
 def read_records(source: Source, *, validate: bool = True) -> DataFrame:
-    """id, text, fields (the row as it is) and pos (the order of the source).
+    """id, text, fields (the row as it is) and pos (the order of the source: a Spark table's is that of whole-number ids, and
+    of none else; a pandas frame's is that of its rows).
 
     Raises UnknownIdColumn, EmptySource or DuplicateRecordId, in that order.  One job checks the ids: a count by id
     with a partial aggregation, of which one offending row at most reaches the driver.
@@ -47,10 +53,16 @@ def read_records(source: Source, *, validate: bool = True) -> DataFrame:
         ids = df.select(id_text(df, source.id_column).alias("id"))
         if again := ids.groupBy("id").count().where("count > 1").limit(1).collect():
             raise DuplicateRecordId(f"id {again[0].id!r} comes {again[0]['count']} times")
+    if not isinstance(source.frame, DataFrame):
+        pos = F.monotonically_increasing_id()
+    elif isinstance(df.schema[source.id_column].dataType, T.IntegralType):
+        pos = F.col(f"`{source.id_column}`").cast("long")
+    else:
+        pos = F.lit(0).cast("long")  # ties go by id
     text = (source.serializer or default_serializer()).to_column(df)
     fields = F.struct(*(F.col(f"`{c}`") for c in df.columns))
     return df.select(
-        id_text(df, source.id_column).alias("id"), text.alias("text"), fields.alias("fields"), F.monotonically_increasing_id().alias("pos")
+        id_text(df, source.id_column).alias("id"), text.alias("text"), fields.alias("fields"), pos.alias("pos")
     )
 
 
@@ -73,13 +85,20 @@ class LabeledPairs:
     def split(self, *, test_size: float, seed: int | None = None) -> tuple[LabeledPairs, LabeledPairs]:
         """(train, test); test has round(test_size * n) pairs, half to even.
 
-        Pairs are ordered by a hash of seed and pair, so the split is the same wherever it runs.  No pair reaches the
-        driver: the hash below which pairs are for testing comes from counts of hash prefixes.
+        Up to SHUFFLED pairs, which are counted, are put in order and shuffled by Python's generator with the seed, as a
+        user of a list of pairs expects.  More are ordered by a hash of seed and pair, so the split is the same wherever
+        it runs, and no pair reaches the driver: the hash below which pairs are for testing comes from counts of hash
+        prefixes.
         """
         if not 0 <= test_size <= 1:
             raise ValueError("test_size must lie between 0 and 1")
         n = self.pairs.count()
         want = round(test_size * n)
+        if n <= SHUFFLED:
+            order = sorted(map(tuple, self.pairs.select("left_id", "right_id").collect()))
+            random.Random(seed).shuffle(order)
+            spark, kind = self.pairs.sparkSession, "left_id string, right_id string"
+            return tuple(LabeledPairs(spark.createDataFrame(part, kind)) for part in (order[want:], order[:want]))
         salt = random.random() if seed is None else seed
         h = F.xxhash64(F.lit(str(salt)), "left_id", "right_id")
         marked = self.pairs.withColumns({"__slot": F.shiftrightunsigned(h, 48), "__h": h})
