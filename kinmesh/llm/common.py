@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kinmesh.storage import shared_dir, stash
+
+__all__ = ["ALNUM", "LOWER", "NON_WORD", "UPPER", "binary", "scratch_path", "shared_dir", "stash", "table"]
+
 #: Maps every byte of UTF-8 text to itself, A-Z to a-z, and ASCII non-alphanumerics to a blank, so
 #: that ``text.translate(ALNUM).split()`` gives the words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``.
 ALNUM = bytes(
@@ -22,28 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not told:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        told = tempfile.mkdtemp(prefix="kinmesh-")
-        spark.conf.set("spark.checkpoint.dir", told)
-    return told.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/kinmesh/{name}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back, so that a lost executor costs no recomputation."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def binary(batch, name: str):
     """A string column of an Arrow batch as bytes objects, null as b''."""
     import pyarrow as pa

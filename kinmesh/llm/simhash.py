@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinmesh.operators.clustering import smallest_reachable
+
 from .common import binary, stash, table
 
 _CHUNK = 1 << 15
@@ -144,37 +146,12 @@ def links(fingerprints: DataFrame, *, radius: int = 3, block: int = 4096) -> Dat
     return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(scan, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node of each linked node's component, by large-star and small-star steps.
-
-    Edges are (a, b) with a > b.  Each round is written to the shared folder.  A component ends as a star.
-    """
-    edges = stash(edges, "edges")
-    before = None
-    for _ in range(most_rounds):
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        larger = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        starred = larger.where("a > b").distinct()
-        low = starred.groupBy("a").agg(F.min("b").alias("m"))
-        small = starred.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stash(small.union(low.select("a", F.col("m").alias("b"))).where("a > b").distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
-    roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
-
-
 def _classes(docs: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
     """The fingerprints of all rows, and (fingerprint, first) where first is the component's first (no id, doc_id, th)."""
     marked = stash(with_fingerprints(docs, shingle), "simhash")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
     distinct = stash(marked.groupBy("fingerprint").agg(F.min(row).alias("least")), "simhash-distinct")
-    found = stash(components(links(distinct, radius=radius)), "simhash-roots")
+    found = stash(smallest_reachable(links(distinct, radius=radius)), "simhash-roots")
     rooted = distinct.join(found, distinct.fingerprint == found.node, "left").select(
         "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
     )

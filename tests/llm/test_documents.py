@@ -74,17 +74,11 @@ def test_links_in_blocks_connect_the_same(spark):
     centre = [int(x) for x in rng.integers(0, 2**62, 3)]
     fps = {c ^ (1 << int(a)) ^ (1 << int(b)) for c in centre for a, b in rng.integers(0, 63, (60, 2))}
     df = spark.createDataFrame([(x,) for x in fps], "fingerprint long")
-    whole = {(r.node, r.root) for r in simhash.components(simhash.links(df)).collect()}
-    split = {(r.node, r.root) for r in simhash.components(simhash.links(df, block=7)).collect()}
+    whole = {(r.node, r.root) for r in simhash.smallest_reachable(simhash.links(df)).collect()}
+    split = {(r.node, r.root) for r in simhash.smallest_reachable(simhash.links(df, block=7)).collect()}
     assert whole == split and whole
 
 
-def test_components_of_chains(spark):
-    edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(101, 100), (103, 102), (103, 101)], "a long, b long")
-    got = dict(simhash.components(edges).collect())
-    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 104)}
-
-
 def test_simhash_odd_rows(spark, odd):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
