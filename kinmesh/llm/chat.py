@@ -5,7 +5,9 @@ is rendered once, as prompt; what follows gives the two completions, in which on
 on (``train`` has their [start, end) places, in characters; all else is masked).  Text is rendered in parts of at most
 ``part`` turn numbers, so a conversation of any length is no single row.
 
-Turns are dealt out by (pair, turn) and rendered by (pair, side, part), never by pair alone.
+Turns are dealt out by (pair, turn) and rendered by (pair, side, part).  What all turns of a pair need, where its sides
+part and how long its prefix is, comes from partial aggregates, and goes to pairs with very many turns by broadcast, so
+that none is one task's work.  Turns of one number are one row.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinmesh.operators.skew import join_hot
+
 from .common import stash, table
 
 START, STOP = "<|im_start|>", "<|im_end|>"
@@ -41,8 +45,9 @@ def preferences(turns: DataFrame, *, part: int = 256) -> DataFrame:
     said = F.array_sort(F.collect_list(F.when(F.col("side") == "chosen", F.struct("role", "text")))).alias("chosen")
     against = F.array_sort(F.collect_list(F.when(F.col("side") == "rejected", F.struct("role", "text")))).alias("rejected")
     met = stash(rows.groupBy("pair_id", "turn").agg(said, against), "chat-turns")
-    apart = met.groupBy("pair_id").agg(F.min(F.when(F.col("chosen") != F.col("rejected"), F.col("turn"))).alias("from"))
-    met = met.join(apart, "pair_id")
+    first = F.min(F.when(F.col("chosen") != F.col("rejected"), F.col("turn"))).alias("from")
+    apart = stash(met.groupBy("pair_id").agg(first, F.count("*").alias("n")), "chat-apart")
+    met = join_hot(met, apart, ["pair_id"]).drop("n")
     common = F.col("from").isNull() | (F.col("turn") < F.col("from"))
     section = lambda name, of: F.struct(F.lit(name).alias("section"), F.col(of).alias("said"))
     sides = F.when(common, F.array(section("prompt", "chosen"))).otherwise(
@@ -75,8 +80,9 @@ def preferences(turns: DataFrame, *, part: int = 256) -> DataFrame:
         F.array_join(F.transform("t", lambda x: x["text"]), "").alias("text"),
         F.when(F.col("section") == "prompt", none).otherwise(spans).alias("train"),
     )
-    shared = met.where(common).groupBy("pair_id").agg(F.sum(F.size("chosen")).cast("long").alias("n_prefix"))
-    return out.join(shared, "pair_id", "left").withColumn("n_prefix", F.coalesce("n_prefix", F.lit(0).cast("long")))
+    prefix = F.coalesce(F.sum(F.when(common, F.size("chosen"))), F.lit(0)).cast("long").alias("n_prefix")
+    shared = stash(met.groupBy("pair_id").agg(prefix, F.count("*").alias("n")), "chat-prefix")
+    return join_hot(out, shared, ["pair_id"]).drop("n")
 
 
 def neighbours(conversations: DataFrame) -> DataFrame:

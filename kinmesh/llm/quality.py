@@ -197,7 +197,9 @@ def train(texts: list[bytes], labels: list[int], *, bits: int = 16, rounds: int
             rows.append((own + at).astype(np.int32))
             cols.append(((key & ((1 << bits) - 1)) + (kind << bits)).astype(np.int32))
             vals.append((n / np.maximum(np.bincount(own, n, len(part)), 1)[own]).astype(np.float32))
-    rows, cols, vals = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
+    rows = np.concatenate(rows)  # one after the other, so that no two lists and their arrays are held at once
+    cols = np.concatenate(cols)
+    vals = np.concatenate(vals)
     # shares are scaled by each slot's spread, so that grams other than the commonest count; `rare` keeps the rarest down
     scale = 1 / np.sqrt(np.bincount(cols, vals**2, _KINDS << bits) / len(y) + rare)
     vals *= scale[cols].astype(np.float32)

@@ -16,6 +16,8 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinmesh.operators.skew import join_hot
+
 from .common import scratch_path, stash, table
 
 _END = "\r\n"
@@ -51,9 +53,16 @@ def records(pages: DataFrame, *, least: int = 1000, date: str = "2024-01-01T00:0
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("html"))
     rows = rows.withColumns({"digest": F.sha1(F.col("html").cast("binary")), "n": F.octet_length("html").cast("long")})
     equal = rows.where(F.col("n") >= least).groupBy("digest")
-    equal = equal.agg(F.max(F.struct("page_id", "url")).alias("keeper"), F.count("*").alias("count")).where("count > 1").drop("count")
-    equal = stash(equal, "warc-equal")
-    rows = rows.join(F.broadcast(equal) if equal.count() <= 100_000 else equal, "digest", "left")
+    equal = equal.agg(F.max(F.struct("page_id", "url")).alias("keeper"), F.count("*").alias("count")).where("count > 1")
+    equal = stash(equal.withColumnRenamed("digest", "__key"), "warc-equal")
+    # small payloads have keys of their own, so that blank pages are not all one key
+    own = F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))
+    rows = rows.withColumn("__key", F.when(F.col("n") >= least, F.col("digest")).otherwise(own))
+    if equal.count() <= 100_000:
+        rows = rows.join(F.broadcast(equal), "__key", "left")
+    else:
+        rows = join_hot(rows, equal, ["__key"], n="count", how="left")
+    rows = rows.drop("__key", "count")
     revisit = F.col("keeper").isNotNull() & ~F.struct("page_id", "url").eqNullSafe(F.col("keeper"))
     rows = rows.withColumns(
         {
@@ -101,10 +110,25 @@ def records(pages: DataFrame, *, least: int = 1000, date: str = "2024-01-01T00:0
     return rows.select(F.explode(kinds).alias("value"))
 
 
+#: Payload bytes up to which pages are written together, and the records of such a file: some 400 MB at most.  Larger ones
+#: have a file for each page.
+FILES = ((1 << 12, 30_000), (1 << 16, 6_000), (1 << 20, 384), (1 << 24, 24))
+
+
 def write_archives(pages: DataFrame, path: str, *, compression: str = "gzip", records_per_file: int = 30_000, **how) -> None:
-    """Write WARC files of the pages to a folder; a file has at most `records_per_file` records."""
-    out = records(pages, **how).write.option("lineSep", _END + _END).option("compression", compression)
-    out.option("maxRecordsPerFile", records_per_file).text(path)
+    """Write WARC files of the pages to a folder; a file has at most `records_per_file` records, and fewer of large pages.
+
+    Each size of FILES is a folder, written if there are such pages.
+    """
+    size = F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0))
+    low = -1
+    largest = pages.agg(F.max(size)).first()[0] or 0
+    for most, n in (*FILES, (None, 3)):
+        part = pages.where((size > low) & (size <= most) if most else size > low)
+        if low <= largest:
+            out = records(part, **how).write.option("lineSep", _END + _END).option("compression", compression)
+            out.option("maxRecordsPerFile", min(n, records_per_file)).text(f"{path}/to-{most or 'any'}")
+        low = most or low
 
 
 class _Stream:
@@ -236,7 +260,9 @@ def captures(found: DataFrame) -> DataFrame:
     kept = out.where("type = 'response'").groupBy(F.col("record_id").alias("refers_to"))
     kept = kept.agg(F.min(F.struct("record_id", "target_uri", "payload_bytes", "payload_digest", F.col("metadata.fields").alias("fields"))).alias("original"))
     # a response meets its own row, so that captures without a reference are not all one key
-    met = out.withColumn("__key", F.coalesce("refers_to", "record_id")).join(kept.withColumnRenamed("refers_to", "__key"), "__key", "left")
+    asked = main.where(F.col("refers_to").isNotNull()).groupBy("refers_to").agg(F.count("*").alias("__n"))
+    kept = stash(kept.join(asked, "refers_to", "left").fillna(0, ["__n"]).withColumnRenamed("refers_to", "__key"), "warc-originals")
+    met = join_hot(out.withColumn("__key", F.coalesce("refers_to", "record_id")), kept, ["__key"], n="__n", how="left").drop("__n")
     return met.withColumn("original", F.when(F.col("refers_to").isNotNull(), F.col("original"))).drop("__key")
 
 
