@@ -110,9 +110,9 @@ def records(pages: DataFrame, *, least: int = 1000, date: str = "2024-01-01T00:0
     return rows.select(F.explode(kinds).alias("value"))
 
 
-#: Payload bytes up to which pages are written together, and the records of such a file: some 400 MB at most.  Larger ones
-#: have a file for each page.
-FILES = ((1 << 12, 30_000), (1 << 16, 6_000), (1 << 20, 384), (1 << 24, 24))
+#: Payload bytes up to which pages are written together, and the records of such a file, three for each page: some 350 MB at
+#: most.  Larger ones have a file for each page.
+FILES = ((1 << 15, 30_000), (1 << 20, 900), (1 << 24, 57))
 
 
 def write_archives(pages: DataFrame, path: str, *, compression: str = "gzip", records_per_file: int = 30_000, **how) -> None:
