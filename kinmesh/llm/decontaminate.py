@@ -6,21 +6,25 @@ length reaches ``window`` words, or a whole item that is shorter, the words are
 do not have, and word pairs that they do not have, put the automaton back to its start, so those are
 skipped in numpy and only stretches that may hold a window are streamed word by word.
 
-Items come in blocks of at most ``block_words`` words, each its own automaton, broadcast; documents pass all
-of them in one stage without a shuffle.
+Items come in blocks of about ``block_words`` words, each its own broadcast automaton.  A single block is one stage
+without a shuffle.  With more, each has a pass of its own over the documents, which writes the hit ones' spans; these
+are gathered by text and meet their rows again in a join.  So the memory of workers and driver does not grow with the
+items: a worker holds one automaton at a time and the driver two.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, binary
+from kinmesh.operators.skew import join_hot
+
+from .common import ALNUM, binary, scratch_path, stash, table
 
 _BITS = 22
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -165,7 +169,7 @@ def _groups(rows: list, words: int = 200_000) -> Iterator[list]:
 
 
 def item_blocks(items: DataFrame, window: int, block_words: int) -> Iterator[SuffixAutomaton]:
-    """One automaton for each block of items, at least one; the driver holds one block at a time."""
+    """One automaton for each block of items, at least one."""
     block, n, made = [], 0, 0
     for row in items.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).toLocalIterator():
         words = bytes(row[1] or b"").translate(ALNUM).split()
@@ -178,52 +182,121 @@ def item_blocks(items: DataFrame, window: int, block_words: int) -> Iterator[Suf
         yield SuffixAutomaton(block, window)
 
 
-def match_documents(
-    spark: SparkSession, docs: DataFrame, items: DataFrame, *, window: int = 13, block_words: int = 200_000
-) -> DataFrame:
-    """doc_id, n_words, spans (array of [start, end) in words), item_ids (sorted strings), text.
+_HITS = "__key string, spans array<array<int>>, item_ids array<string>"
+#: Rows of hits that a join may broadcast have so many spans and items at most.
+_SMALL_HITS = 100
 
-    A null or empty text has no words, no spans and no items; an empty item table hits nothing; null item ids
-    count as ''.  Repeated rows of documents come out once for each row; equal items each count.  Other columns
-    of the inputs are ignored.
-    """
-    schema = "doc_id long, text string, n_words long, spans array<array<int>>, item_ids array<string>"
-    out = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-        F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<int>>").alias("spans"),
-        F.array().cast("array<string>").alias("item_ids"),
+
+def _search(automaton: SuffixAutomaton, texts: list[list[bytes]]) -> tuple[list[list[list[int]]], list[list[str]]]:
+    """Merged spans and sorted items of each text."""
+    spans: list = [[]] * len(texts)
+    keys: list = [[]] * len(texts)
+    at = 0
+    for group in _groups(texts):
+        for k, (s, found) in automaton.matches(group).items():
+            spans[at + k], keys[at + k] = merge(s), sorted(found)
+        at += len(group)
+    return spans, keys
+
+
+def _words(batch) -> list[list[bytes]]:
+    return [t.translate(ALNUM).split() for t in binary(batch, "text")]
+
+
+def _through(
+    spark: SparkSession, docs: DataFrame, items: DataFrame, window: int, block_words: int, finish: Callable, schema
+) -> DataFrame:
+    """What finish(batch, n_words, spans, item_ids) makes of the Arrow batches of the documents."""
+    blocks = item_blocks(items, window, block_words)
+    automaton, after = next(blocks), next(blocks, None)
+    if after is None:
+        held = spark.sparkContext.broadcast(automaton)
+
+        def scan(batches):
+            for batch in batches:
+                texts = _words(batch)
+                yield from finish(batch, [len(t) for t in texts], *_search(held.value, texts))
+
+        return docs.mapInArrow(scan, schema)
+    # a text's hits depend on it alone; the id spreads the copies of one text
+    text = F.col("text").cast("string")
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(text, F.lit(""))))
+    keyed = docs.select(key.alias("__key"), text.alias("text"))
+    path = scratch_path(spark, "block-hits")
+    while automaton is not None:
+        held = spark.sparkContext.broadcast(automaton)
+        hits = keyed.mapInArrow(_hit_rows(held), _HITS).groupBy("__key")
+        hits = hits.agg(F.first("spans").alias("spans"), F.first("item_ids").alias("item_ids"), F.count("*").alias("__n"))
+        hits.write.mode("append").parquet(path)
+        held.destroy()
+        automaton, after = after, next(blocks, None)
+    found = spark.read.schema(hits.schema).parquet(path).groupBy("__key")
+    found = found.agg(
+        F.flatten(F.collect_list("spans")).alias("__spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("__items"), F.max("__n").alias("__n"),
     )
-    for k, automaton in enumerate(item_blocks(items, window, block_words)):
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(automaton), k == 0), schema)
-    return out
+    # rows with many hits are left to the shuffle
+    small = F.size("__spans") + F.size("__items") <= _SMALL_HITS
+    found = stash(found.withColumn("__n", F.when(small, F.col("__n")).otherwise(0)), "hits")
+    rows = docs.select(key.alias("__key"), F.struct("*").alias("__row"))
+    met = join_hot(rows, found, ["__key"], n="__n", how="left").select("__row", "__spans", "__items")
+
+    def gather(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            own = pa.RecordBatch.from_struct_array(batch.column("__row"))
+            spans, keys = ([x or [] for x in batch.column(name).to_pylist()] for name in ("__spans", "__items"))
+            yield from finish(own, [len(t) for t in _words(own)], [merge(s) for s in spans], keys)
 
+    return met.mapInArrow(gather, schema)
 
-def _scan(held, first: bool):
+
+def _hit_rows(held):
     def scan(batches):
         import pyarrow as pa
 
-        automaton = held.value
         for batch in batches:
-            texts = [t.translate(ALNUM).split() for t in binary(batch, "text")]
-            n_words = [len(t) for t in texts]
-            spans = [[]] * len(texts) if first else batch.column("spans").to_pylist()
-            keys = [[]] * len(texts) if first else batch.column("item_ids").to_pylist()
-            at = 0
-            for group in _groups(texts):
-                for k, (s, found) in automaton.matches(group).items():
-                    spans[at + k], keys[at + k] = merge([*spans[at + k], *s]), sorted({*keys[at + k], *found})
-                at += len(group)
+            spans, keys = _search(held.value, _words(batch))
+            hit = [k for k, s in enumerate(spans) if s]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), batch.column("text"), pa.array(n_words, pa.int64()),
-                    pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(keys, pa.list_(pa.string())),
+                    batch.column("__key").take(pa.array(hit, pa.int64())),
+                    pa.array([spans[k] for k in hit], pa.list_(pa.list_(pa.int32()))),
+                    pa.array([keys[k] for k in hit], pa.list_(pa.string())),
                 ],
-                ["doc_id", "text", "n_words", "spans", "item_ids"],
+                ["__key", "spans", "item_ids"],
             )
 
     return scan
 
 
+def match_documents(
+    spark: SparkSession, docs: DataFrame, items: DataFrame, *, window: int = 13, block_words: int = 200_000
+) -> DataFrame:
+    """doc_id, n_words, spans (array of [start, end) in words), item_ids (sorted strings), text.
+
+    A null or empty text has no words, no spans and no items; an empty item table hits nothing; null item ids
+    count as ''.  Repeated rows of documents come out once for each row; equal items each count.  Other columns
+    of the inputs are ignored.
+    """
+
+    def finish(batch, n_words, spans, keys):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"), batch.column("text"), pa.array(n_words, pa.int64()),
+                pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(keys, pa.list_(pa.string())),
+            ],
+            ["doc_id", "text", "n_words", "spans", "item_ids"],
+        )
+
+    schema = "doc_id long, text string, n_words long, spans array<array<int>>, item_ids array<string>"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _through(spark, rows, items, window, block_words, finish, schema)
+
+
 def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, *, share: int = 20, **how) -> DataFrame:
     """match_documents() with n_hit, n_items and contaminated: a hit, and at least one word in `share` is hit."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
@@ -237,8 +310,6 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, *, sha
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: one row per document with its contamination counts."""
-    from .common import table
-
     found = contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     sha = F.sha2(F.concat_ws(",", "item_ids"), 256)
     return found.select("doc_id", "n_words", "n_hit", "n_items", sha.alias("items_sha256"), "contaminated")
@@ -255,44 +326,38 @@ def cut(text: str, spans: list[list[int]]) -> str:
 
 
 def decontaminate(
-    spark: SparkSession, docs: DataFrame, items: DataFrame, *, window: int = 13, share: int = 20,
+    spark: SparkSession, docs: DataFrame, items: DataFrame, *, window: int = 13, share: int = 20, longest: int = 25,
     drop: bool = True, block_words: int = 200_000,
 ) -> DataFrame:
     """The documents after removal, with all their columns as they were.
 
     A document is over the coverage limit if at least one word in `share` is hit.  Those go (drop=True) or stay
-    without their hit spans, each of which has at least `window` words or is a whole shorter item (drop=False;
-    n_chars, if there is such a column, is counted anew).  Others stay untouched, as do null and empty texts.
+    without their hit spans, each of which has at least `window` words or is a whole shorter item (drop=False).
+    Others stay without the spans that exceed the length limit, more than `longest` words; n_chars, if there is such a
+    column, is counted anew for texts that are cut.  Documents without such spans stay untouched, as do null and empty
+    texts.  Repeated rows are judged each by itself, alike.
     """
-    import pyarrow as pa
 
-    automata = [spark.sparkContext.broadcast(a) for a in item_blocks(items, window, block_words)]
+    def finish(batch, n_words, spans, _):
+        import pyarrow as pa
 
-    def keep(batches):
-        for batch in batches:
-            texts = [t.translate(ALNUM).split() for t in binary(batch, "text")]
-            spans: list = [[] for _ in texts]
-            for held in automata:
-                at = 0
-                for group in _groups(texts):
-                    for k, (s, _) in held.value.matches(group).items():
-                        spans[at + k] = merge([*spans[at + k], *s])
-                    at += len(group)
-            over = [bool(s) and share * sum(b - a for a, b in s) >= len(t) for s, t in zip(spans, texts)]
-            if drop:
-                yield batch.filter(pa.array([not x for x in over], pa.bool_()))
-                continue
-            clean = [cut(t, s) if x else t for t, s, x in zip(batch.column("text").to_pylist(), spans, over)]
+        over = [bool(s) and share * sum(b - a for a, b in s) >= n for s, n in zip(spans, n_words)]
+        gone = [s if x else [y for y in s if y[1] - y[0] > longest] for s, x in zip(spans, over)]
+        if drop:
+            stay = [k for k, x in enumerate(over) if not x]
+            batch, gone = batch.take(pa.array(stay, pa.int64())), [gone[k] for k in stay]
+        if any(gone):
             names = batch.schema.names
             k = names.index("text")
+            clean = [cut(t, s) if s else t for t, s in zip(batch.column(k).to_pylist(), gone)]
             batch = batch.set_column(k, batch.schema.field(k), pa.array(clean, batch.schema.field(k).type))
             if "n_chars" in names:
-                k, n = names.index("n_chars"), batch.column("n_chars").to_pylist()
-                n = [len(t) if x else old for t, x, old in zip(clean, over, n)]
+                k = names.index("n_chars")
+                n = [len(t) if s else old for t, s, old in zip(clean, gone, batch.column(k).to_pylist())]
                 batch = batch.set_column(k, batch.schema.field(k), pa.array(n, batch.schema.field(k).type))
-            yield batch
+        yield batch
 
-    return docs.mapInArrow(keep, docs.schema)
+    return _through(spark, docs, items, window, block_words, finish, docs.schema)
 
 
 #: The query in DuckDB's SQL.

@@ -143,6 +143,53 @@ def test_decontamination_odd_rows(spark, odd):
     none = decontaminate.contamination(spark, odd, items.limit(0)).collect()
     assert len(none) == len(ODD) and not any(r.contaminated for r in none)
     assert decontaminate.cut("One two, three four!", [[1, 3]]) == "One  four!"
+    # a block for each item
+    for d in (odd, odd.limit(0)):
+        for f in (decontaminate.contamination, decontaminate.decontaminate):
+            one, many = (sorted(map(repr, f(spark, d, items, block_words=n).collect())) for n in (200_000, 1))
+            assert one == many
+
+
+def test_decontamination_by_length_and_coverage(spark):
+    words = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    item, other = words("a", 40), words("b", 30)
+    few, many = words("x", 100), words("y", 2000)
+    texts = [f"{few} {item}", f"{many} {item}, {few}", f"{many} {words('a', 20)}", f"{many} {item} {few} {other} {many}", many, None]
+    docs = [(k % 4, t, len(t or ""), "s") for k, t in enumerate(texts * 2)]
+    want = {1: f"{many} , {few}", 2: texts[2], 3: f"{many}  {few}  {many}", 4: many, 5: None}
+    want = sorted((repr(k), repr(want[k % 6]), n if (t := want[k % 6]) == docs[k][1] else len(t)) for k, (_, _, n, _) in enumerate(docs) if k % 6)
+    d = spark.createDataFrame([(*x, k) for k, x in enumerate(docs)], "doc_id long, text string, n_chars long, __key string, row long")
+    b = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    for n in (200_000, 10):
+        got = decontaminate.decontaminate(spark, d, b, block_words=n)
+        assert got.columns == d.columns
+        assert sorted((repr(r.row), repr(r.text), r.n_chars) for r in got.collect()) == want
+    whole = decontaminate.decontaminate(spark, d, b, drop=False, block_words=10)
+    assert {r.text for r in whole.where("row in (0, 6)").collect()} == {few + " "}
+
+
+def test_decontamination_of_very_many_equal_rows(spark):
+    d = spark.range(12_000).selectExpr("if(id < 11500, 7, id) as doc_id", "if(id % 4 = 0 or id < 11500, 'z a b c d', 'q') as text")
+    b = spark.createDataFrame([(1, "a b"), (2, "c d"), (3, "q r")], "item_id long, text string")
+    got = decontaminate.contamination(spark, d, b, block_words=2).groupBy("n_hit", "n_items").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 0, 375), (4, 2, 11_625)]
+
+
+def test_decontamination_of_a_very_long_text(spark):
+    rng = np.random.default_rng(5)
+    item = [f"w{k}" for k in range(30)]
+    w = [f"v{k}" for k in rng.integers(0, 500, 400_000)]
+    places = list(range(1000, 400_000, 50_000))
+    for p in places:
+        w[p : p + 30] = item
+    d = spark.createDataFrame([(1, " ".join(w))], "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(item)), (2, "never met")], "item_id long, text string")
+    for n in (200_000, 10):
+        r = decontaminate.contamination(spark, d, b, block_words=n).first()
+        assert (r.n_words, r.n_hit, r.item_ids, r.contaminated) == (400_000, 30 * len(places), ["1"], False)
+        assert [s for s in r.spans] == [[p, p + 30] for p in places]
+        text = decontaminate.decontaminate(spark, d, b, block_words=n).first().text
+        assert len(text.split()) == 400_000 - 30 * len(places) and "w0" not in text.split()
 
 
 def brute_base(text):
