@@ -185,11 +185,10 @@ def q_linkage_metrics_undirected(spark, d):
 
 def q_pair_completeness(spark, d):
     ranks = M.first_ranks(pairs(spark, d), gold(spark, d).pairs, directed=False)
-    ks = spark.createDataFrame([(k,) for k in (1, 2, 3, 5)], "k int")
-    found = ranks.groupBy("rank").count()
-    return ks.join(F.broadcast(found), F.lit(True)).groupBy("k").agg(
-        F.round(F.sum(F.when(F.col("rank") <= F.col("k"), F.col("count")).otherwise(0)) / F.sum("count"), 9).alias("pc")
-    )
+    ks = (1, 2, 3, 5)
+    found = ranks.agg(F.count("*").alias("n"), *(F.count_if(F.col("rank") <= k).alias(f"n{k}") for k in ks)).where("n > 0")
+    rows = found.select("n", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"n{k}").alias("hit")) for k in ks))).alias("x"))
+    return rows.select("x.k", F.round(F.col("x.hit") / F.col("n"), 9).alias("pc"))
 
 
 def q_threshold_sweep(spark, d):
