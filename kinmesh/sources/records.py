@@ -124,6 +124,47 @@ class LabeledPairs:
         return LabeledPairs(cut.where(~test).select(keep)), LabeledPairs(cut.where(test).select(keep))
 
 
+@dataclass(frozen=True)
+class LabeledClasses:
+    """Gold matches that are not written out: two records that share a label match, that of the smaller pos left.
+
+    An id has one pos and no two ids the same.  A class of n records stands for n (n - 1) / 2 pairs; none of them is made
+    to count them or to tell which candidates are among them.
+    """
+
+    members: DataFrame  # id, pos, label
+
+    @property
+    def pairs(self) -> DataFrame:
+        """All pairs, whose number grows with the square of the classes."""
+        a, b = (self._rows().select("label", F.col("id").alias(f"{s}_id"), F.col("pos").alias(f"{s}_pos")) for s in ("left", "right"))
+        return a.join(b, "label").where("left_pos < right_pos").select("left_id", "right_id").distinct()
+
+    def _rows(self) -> DataFrame:
+        return self.members.where("id is not null and pos is not null and label is not null").select("id", "pos", "label").distinct()
+
+    def _sets(self) -> DataFrame:
+        return self._rows().groupBy("id").agg(F.min("pos").alias("pos"), F.collect_set("label").alias("labels"))
+
+    def n(self) -> int:
+        """The number of pairs; one that shares several labels counts once."""
+        sizes = self._rows().groupBy("label").agg(F.count("*").alias("c"))
+        total = sizes.agg(F.expr("coalesce(sum(c * (c - 1) div 2), 0)")).first()[0]
+        several = self._sets().where(F.size("labels") > 1).select("id", F.explode("labels").alias("label"))
+        a, b = (several.select("label", F.col("id").alias(c)) for c in ("a", "b"))
+        again = a.join(b, "label").where("a < b").groupBy("a", "b").agg(F.count("*").alias("c"))
+        return total - again.agg(F.expr("coalesce(sum(c - 1), 0)")).first()[0]
+
+    def marked(self, keyed: DataFrame, directed: bool) -> DataFrame:
+        """The rows, by key (k1, k2), with g: 1 if their key is gold, else 0."""
+        sets = self._sets()
+        for s in ("1", "2"):
+            keyed = keyed.join(sets.select(F.col("id").alias(f"k{s}"), F.col("pos").alias(f"__p{s}"), F.col("labels").alias(f"__l{s}")), f"k{s}", "left")
+        apart = F.col("__p1") < F.col("__p2") if directed else F.col("k1") != F.col("k2")
+        g = F.coalesce(F.arrays_overlap("__l1", "__l2") & apart, F.lit(False)).cast("int")
+        return keyed.withColumn("g", g).drop("__p1", "__p2", "__l1", "__l2")
+
+
 def candidate_pairs_from_frame(frame, *, left: Source, right: Source, left_id: str, right_id: str, similarity: str | None = None) -> DataFrame:
     """Scored pairs with texts from a frame of id pairs; repeated pairs stay, NaN scores become null.
 
