@@ -18,6 +18,7 @@ QUERIES = [
     "threshold_sweep",
     "b3",
     "linkage_metrics",
+    "best_f1",
 ]  # all
 
 
